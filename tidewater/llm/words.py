@@ -9,7 +9,6 @@ positions in the UTF-8 form of the text.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 
@@ -45,19 +44,15 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> _U(33))
 
 
-def chunks(texts: list[str | None], limit: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
-    """Split a batch into runs of whole texts of about ``limit`` bytes each."""
-    part: list[bytes] = []
-    size = first = 0
-    for i, text in enumerate(texts):
-        raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
-        if part and size + len(raw) > limit:
-            yield first, part
-            part, size, first = [], 0, i
-        part.append(raw)
-        size += len(raw) + 1
-    if part:
-        yield first, part
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range; the ranges follow one another without gaps, and none is empty."""
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64)
+    size = end - start
+    offset = np.arange(start[0], end[-1]) - np.repeat(start, size)
+    with np.errstate(over="ignore"):
+        terms = _TABLE[data[start[0] : end[-1]]] * powers(int(size.max()))[offset]
+        return mix(np.add.reduceat(terms, start - start[0]) + size.astype(np.uint64))
 
 
 class Words:
