@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, token_shards
+from . import packing, pieces, simhash, token_shards
 
 QUERIES = {
     "op1_token_shards": token_shards.op1,
     "op2_cost_packing": packing.op2,
+    "op6_simhash_groups": simhash.op6,
     "op7_pieces": pieces.op7,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_simhash_groups": simhash.ORACLE,
+}
