@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, simhash, token_shards
+from . import packing, pieces, quality, simhash, token_shards, toxicity
 
 QUERIES = {
     "op1_token_shards": token_shards.op1,
     "op2_cost_packing": packing.op2,
+    "op4_toxicity": toxicity.op4,
+    "op5_quality": quality.op5,
     "op6_simhash_groups": simhash.op6,
     "op7_pieces": pieces.op7,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_toxicity": toxicity.op4,
+    "op5_quality": quality.op5,
     "op6_simhash_groups": simhash.ORACLE,
 }
