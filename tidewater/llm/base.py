@@ -36,15 +36,9 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``.  Only a local session
     that names none gets a folder of its own; a cluster without one is refused.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not (sc.master == "local" or sc.master.startswith("local[")):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tidewater-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -80,3 +74,20 @@ def runs(raw: list[bytes | None], limit: int = 2_000_000) -> Iterator[tuple[int,
 
 def list_array(values: pa.Array, offsets) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or in a local session without it one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tidewater-")
+
+
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """The same rows, written as Parquet to a new folder and read again."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)

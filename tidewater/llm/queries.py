@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, quality, simhash, token_shards, toxicity
+from . import packing, pieces, quality, repeats, simhash, token_shards, toxicity
 
 QUERIES = {
     "op1_token_shards": token_shards.op1,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_quality": quality.op5,
     "op6_simhash_groups": simhash.op6,
     "op7_pieces": pieces.op7,
+    "op9_repeated_passages": repeats.op9,
 }
 
 ORACLES: dict[str, str] = {
     "op4_toxicity": toxicity.op4,
     "op5_quality": quality.op5,
     "op6_simhash_groups": simhash.ORACLE,
+    "op9_repeated_passages": repeats.ORACLE,
 }
