@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, quality, repeats, simhash, token_shards, toxicity
+from . import knn_graph, packing, pieces, quality, repeats, simhash, token_shards, toxicity, vector_copies
 
 QUERIES = {
     "op1_token_shards": token_shards.op1,
@@ -11,7 +11,9 @@ QUERIES = {
     "op5_quality": quality.op5,
     "op6_simhash_groups": simhash.op6,
     "op7_pieces": pieces.op7,
+    "op8_nearest": knn_graph.op8,
     "op9_repeated_passages": repeats.op9,
+    "op10_vector_copies": vector_copies.op10,
 }
 
 ORACLES: dict[str, str] = {
@@ -19,4 +21,5 @@ ORACLES: dict[str, str] = {
     "op5_quality": quality.op5,
     "op6_simhash_groups": simhash.ORACLE,
     "op9_repeated_passages": repeats.ORACLE,
+    "op10_vector_copies": vector_copies.ORACLE,
 }
