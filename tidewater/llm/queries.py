@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import knn_graph, packing, pieces, quality, repeats, simhash, token_shards, toxicity, vector_copies
+from . import knn_graph, ngram_lm, packing, pieces, quality, repeats, simhash, token_shards, toxicity, vector_copies
 
 QUERIES = {
     "op1_token_shards": token_shards.op1,
     "op2_cost_packing": packing.op2,
+    "op3_ngram_scores": ngram_lm.op3,
     "op4_toxicity": toxicity.op4,
     "op5_quality": quality.op5,
     "op6_simhash_groups": simhash.op6,
