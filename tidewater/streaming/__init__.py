@@ -1,0 +1 @@
+"""The dialect has no streams; nothing lives here."""
