@@ -112,7 +112,7 @@ def _duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table after an INSERT whose last row has a key that is there already."""
     e = _loaded(spark, sf_dir)
     try:
-        e.sql("INSERT INTO native VALUES (-1, 1, 'N'), (1500, 1, 'N')")
+        e.sql("INSERT INTO native VALUES (-1, 1, 'N'), (100, 1, 'N')")
     except EngineError:
         return e.sql("SELECT o_orderkey FROM native").df
     raise AssertionError("a duplicate key was accepted")
