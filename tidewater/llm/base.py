@@ -18,7 +18,14 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let this session's Python workers import the package, wherever the driver was started."""
+    """Let this session's Python workers import the package, wherever the driver was started.
+
+    Batches for Python get smaller, unless their size was set: texts are held
+    several times over while they are worked on.
+    """
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size) == "67108864b":
+        spark.conf.set(size, "8388608b")
     env = spark.sparkContext.environment
     known = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if _ROOT not in known:
