@@ -6,7 +6,9 @@ any further column of the input, whatever its name, cannot get in their way.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -83,6 +85,23 @@ def list_array(values: pa.Array, offsets) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
+def release(spark: SparkSession) -> None:
+    """Drop the shuffle files and checkpoints of plans that nothing refers to any more.
+
+    The driver does so when it collects its garbage, which may not happen while
+    disks fill up.  Collecting goes on until it frees no more shuffles: the first
+    rounds free plans, the later ones what these held.
+    """
+    known = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    size, still = known.size(), 0
+    while still < 3:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+        still = still + 1 if known.size() == size else 0
+        size = known.size()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or in a local session without it one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -20,7 +20,7 @@ follows.  Sharding by document instead would have every place searched in every
 shard, which grows with the square of the corpus.
 
 Places whose context of four recurs go through a second set of shards, by those
-four words, with 32-bit fingerprints of the doubled contexts.  Words are compared
+four words, with 24-bit fingerprints of the doubled contexts.  Words are compared
 by 64-bit hashes, in the shards by 24-bit ones within equal contexts.
 
 Documents without words (null, empty) have n_words 0 and null scores.  Rows that
@@ -37,10 +37,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import cut, id_and_text, list_array, prepare, raw_texts, runs, table
-from .knn_graph import _release
+from .base import cut, id_and_text, prepare, raw_texts, release, runs, table
 from .repeats import Rolling
-from .words import Words
+from .words import Words, spread
 
 ALPHA = 1.0
 UNIGRAMS = 65_535
@@ -109,7 +108,7 @@ def _shards_of(shards: int, key: np.ndarray, doc: np.ndarray, columns: list[np.n
     """One row for each shard: its documents' ids and, sorted by key, the rest of the keys, places in the ids and columns."""
     shard = (key % np.uint64(shards)).astype(np.int64)
     rest = (key // np.uint64(shards)).astype(np.uint32)
-    order = np.lexsort((rest, shard))
+    order = np.argsort((shard.astype(np.uint64) << np.uint64(32)) | rest)
     edge = np.searchsorted(shard[order], np.arange(shards + 1))
     rows: list[tuple[int, int, bytes, bytes]] = []
     for s in range(shards):
@@ -124,45 +123,139 @@ def _shards_of(shards: int, key: np.ndarray, doc: np.ndarray, columns: list[np.n
 _BLOB = "shard int, n int, ids binary, data binary"
 
 
-def _read_shard(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, list[np.ndarray]]:
-    docs, parts = [], []
+def _read_shard(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """A shard's (documents, columns) in ranges of keys of about ``most`` places; a key's places are never parted."""
+    parts = []
     for batch in batches:
         for n, ids, data in zip(*(batch.column(c).to_pylist() for c in ("n", "ids", "data"))):
-            cols = _unpack(data, n)
-            docs.append(np.frombuffer(ids, dtype=np.int64)[cols[1]])
-            parts.append([cols[0], *cols[2:]])
-    return np.concatenate(docs), [np.concatenate(c) for c in zip(*parts)]
-
-
-def _ranges(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, range number of each place in that order) of equal rows, the first column first."""
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), dtype=bool)
-    for c in columns:
-        c = c[order]
-        new[1:] |= c[1:] != c[:-1]
-    return order, np.cumsum(new)
-
-
-def _sizes(order: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """The size of each place's range, found by binary search for its ends."""
+            parts.append((np.frombuffer(ids, dtype=np.int64), *_unpack(data, n)))
+    total = sum(len(p[1]) for p in parts)
+    ranges = -(-total // most)
+    limits = (np.arange(ranges + 1) * (1 << 32) // max(1, ranges)).astype(np.int64)
+    edges = [np.searchsorted(p[1], limits) for p in parts]
+    for r in range(ranges):
+        own = [(p, slice(e[r], e[r + 1])) for p, e in zip(parts, edges) if e[r] < e[r + 1]]
+        if own:
+            docs = np.concatenate([p[0][p[2][at]] for p, at in own])
+            yield docs, [np.concatenate([p[k][at] for p, at in own]) for k in range(1, len(own[0][0])) if k != 2]
+
+
+def _ranges(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, range number of each place in that order) of equal values, or pairs of values, below 2**32."""
+    key = a.astype(np.uint64)
+    if b is not None:
+        key = (key << np.uint64(32)) | b
+    order = np.argsort(key)
+    key = key[order]
+    return order, np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))[: len(order)]
+
+
+def _sizes(order: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The size of each place's range; the ranges' ends are found by binary search."""
     out = np.empty(len(order), dtype=np.int64)
-    out[order] = np.searchsorted(group, group, side="right") - np.searchsorted(group, group)
+    if len(order):
+        out[order] = np.diff(np.searchsorted(number, np.arange(number[-1] + 2)))[number]
     return out
 
 
-def _numbers(order: np.ndarray, group: np.ndarray) -> np.ndarray:
+def _numbers(order: np.ndarray, number: np.ndarray) -> np.ndarray:
     out = np.empty(len(order), dtype=np.int64)
-    out[order] = group
+    out[order] = number
     return out
 
 
-def _by_doc(doc: np.ndarray, logp: np.ndarray, context: np.ndarray) -> pa.RecordBatch:
+class _Longest:
+    """For each place the longest context that recurs, and its counts alone and with the word that follows."""
+
+    def __init__(self, key: np.ndarray, word: np.ndarray) -> None:
+        self.word, self.live, self.group = word, np.arange(len(key)), key
+        self.length, self.alone, self.both = (np.full(len(key), x, dtype=np.int64) for x in (0, 1, 1))
+
+    def extend(self, length: int, has: np.ndarray | None = None, more: np.ndarray | None = None) -> None:
+        """Go on to contexts of ``length``, told apart by ``more``, at the places that ``has`` names."""
+        live = self.live if has is None else self.live[has[self.live]]
+        order, number = _ranges(self.group[live], None if more is None else more[live])
+        if self.group.dtype != np.int64:
+            self.group = self.group.astype(np.int64)
+        self.group[live] = _numbers(order, number)
+        size = _sizes(order, number)
+        self.live = live = live[size > 1]
+        self.length[live], self.alone[live] = length, size[size > 1]
+        self.both[live] = _sizes(*_ranges(self.group[live], self.word[live]))
+
+
+_PARTS = "bucket int, deep boolean, n int, places int, ids binary, counts binary, rest binary"
+
+
+def _parts(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "deep", "n", "places", "ids", "counts", "rest"])
+
+
+def _bucketed(buckets: int, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places in ids) of the buckets that have any."""
+    bucket = (ids.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(edge)).tolist():
+        yield b, order[edge[b] : edge[b + 1]]
+
+
+def _sum_rows(buckets: int, doc: np.ndarray, logp: np.ndarray, context: np.ndarray) -> list[tuple]:
+    """Each document's number of places, sum of logarithms and of context lengths, a row for each bucket of documents."""
     ids, at = np.unique(doc, return_inverse=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids), pa.array(np.bincount(at, minlength=len(ids))), pa.array(np.bincount(at, weights=logp, minlength=len(ids))), pa.array(np.bincount(at, weights=context, minlength=len(ids)).astype(np.float64))],
-        names=["doc_id", "n", "logp", "context"],
-    )
+    n, total, length = (np.bincount(at, weights=w, minlength=len(ids)) for w in (None, logp, context))
+    words = length.astype(np.uint64)
+    packed = total.astype(np.float32).view(np.uint32)
+    return [(b, False, len(own), 0, ids[own].tobytes(), _pack(n[own], packed[own], words[own], words[own] >> np.uint64(32)), b"") for b, own in _bucketed(buckets, ids)]
+
+
+def _deep_rows(buckets: int, doc: np.ndarray, place: np.ndarray) -> list[tuple]:
+    """Each document's places, ascending, as differences, a row for each bucket of documents."""
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order].astype(np.int64)
+    start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))[: len(doc)]
+    size = np.diff(np.append(start, len(doc)))
+    step = np.diff(place, prepend=0)
+    step[start] = place[start]
+    rows = []
+    for b, own in _bucketed(buckets, doc[start]):
+        row, k = spread(size[own])
+        rows.append((b, True, len(own), len(row), doc[start[own]].tobytes(), _pack(size[own]), _pack(step[start[own][row] + k])))
+    return rows
+
+
+def _read_sums(batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
+    parts = []
+    for batch in batches:
+        for n, ids, counts in zip(*(batch.column(c).to_pylist() for c in ("n", "ids", "counts"))):
+            number, total, low, high = _unpack(counts, n)
+            parts.append((np.frombuffer(ids, dtype=np.int64), number, total.view(np.float32), low + high.astype(np.float64) * 2.0**32))
+    doc, *rest = (np.concatenate(x) for x in zip(*parts))
+    ids, at = np.unique(doc, return_inverse=True)
+    n, logp, context = (np.bincount(at, weights=w, minlength=len(ids)) for w in rest)
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(logp), pa.array(context)], names=["doc_id", "n", "logp", "context"])
+
+
+def _read_places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(document, its places in all rows, each once)."""
+    docs, places = [], []
+    for batch in batches:
+        for n, k, ids, counts, rest in zip(*(batch.column(c).to_pylist() for c in ("n", "places", "ids", "counts", "rest"))):
+            [size], [step] = _unpack(counts, n), _unpack(rest, k)
+            total = np.cumsum(step, dtype=np.int64)
+            first = np.cumsum(size, dtype=np.int64) - size
+            docs.append(np.repeat(np.frombuffer(ids, dtype=np.int64), size))
+            places.append(total - np.repeat(total[first] - step[first], size))
+    doc, place = np.concatenate(docs), np.concatenate(places)
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    once = np.concatenate(([True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])))
+    doc, place = doc[once], place[once]
+    start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    for s, e in zip(start.tolist(), np.append(start[1:], len(doc)).tolist()):
+        yield int(doc[s]), place[s:e]
 
 
 def _chance(with_word: np.ndarray, alone: np.ndarray, p: np.ndarray, alpha: float) -> np.ndarray:
@@ -183,10 +276,11 @@ def score(docs: DataFrame, alpha: float = ALPHA, size: int = UNIGRAMS) -> DataFr
     spark = prepare(docs.sparkSession)
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = spark.sparkContext.broadcast(unigrams(docs, size))
-    rows = id_and_text(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("own"), "text")
+    release(spark)
+    every_row = id_and_text(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("own"), "text")
     # a row goes by its id's and text's hash, so that texts that share an id keep their places apart
-    texts_of = rows.select(F.xxhash64("own", "text").alias("doc_id"), "text")
-    names = rows.select(F.xxhash64("own", "text").alias("name"), "own").distinct()
+    texts_of = every_row.select(F.xxhash64("own", "text").alias("doc_id"), "text")
+    names = every_row.select(F.xxhash64("own", "text").alias("name"), "own").distinct()
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni = base.value
@@ -220,51 +314,44 @@ def score(docs: DataFrame, alpha: float = ALPHA, size: int = UNIGRAMS) -> DataFr
         uni = base.value
         p_of = np.full(1 << 16, uni.other)
         p_of[uni.rank] = uni.p
-        doc, (key, word, third, fourth, place) = _read_shard(batches)
-        group, longest = key, np.zeros(len(key), dtype=np.int64)
-        alone, both = np.ones(len(key), dtype=np.int64), np.ones(len(key), dtype=np.int64)
-        live = np.arange(len(key))
-        for length, more in ((2, None), (3, third), (4, fourth)):
-            if more is not None:
-                live = live[place[live] >= length]
-                order, number = _ranges(group[live], more[live])
-                group = group.copy() if group is key else group
-                group = group.astype(np.int64)
-                group[live] = _numbers(order, number)
-            order, number = _ranges(group[live])
-            size_ = _sizes(order, number)
-            hit = size_ > 1
-            live, size_ = live[hit], size_[hit]
-            order, number = _ranges(group[live], word[live])
-            longest[live], alone[live], both[live] = length, size_, _sizes(order, number)
-        p = np.where(word < 1 << 16, p_of[np.minimum(word, (1 << 16) - 1)], uni.other)
-        deep = longest == 4
-        logp = np.where(longest > 0, _chance(both, alone, p, alpha), np.log(p))
-        flat = ~deep
-        sums = _by_doc(doc[flat], logp[flat], longest[flat])
-        none = list_array(pa.array([], pa.int32()), np.zeros(sums.num_rows + 1, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([*sums.columns, none], names=[*sums.schema.names, "places"])
-        if deep.any():
-            d, at = doc[deep], place[deep].astype(np.int32)
-            order = np.lexsort((at, d))
-            d, at = d[order], at[order]
-            start = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-            zero = np.zeros(len(start))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(d[start]), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero), list_array(pa.array(at), np.append(start, len(d)))], names=[*sums.schema.names, "places"]
-            )
-
-    once = cut(texts_of.mapInArrow(places, _BLOB).groupBy("shard").applyInArrow(near, _SUMS + ", places array<int>"))
-    _release(spark)
-    deep = once.where("size(places) > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+        sums: list[tuple[np.ndarray, ...]] = []
+        deeper: list[tuple[np.ndarray, ...]] = []
+        for doc, (key, word, third, fourth, place) in _read_shard(batches):
+            found = _Longest(key, word)
+            found.extend(2)
+            found.extend(3, place >= 3, third)
+            found.extend(4, place >= 4, fourth)
+            p = np.where(word < 1 << 16, p_of[np.minimum(word, (1 << 16) - 1)], uni.other)
+            logp = np.where(found.length > 0, _chance(found.both, found.alone, p, alpha), np.log(p)).astype(np.float32)
+            deep = found.length == 4
+            sums.append((doc[~deep], logp[~deep], found.length[~deep].astype(np.uint8)))
+            deeper.append((doc[deep], place[deep]))
+        yield _parts(_sum_rows(shards, *(np.concatenate(x) for x in zip(*sums))))
+        del sums
+        yield _parts(_deep_rows(shards, *(np.concatenate(x) for x in zip(*deeper))))
+
+    once = cut(texts_of.mapInArrow(places, _BLOB).groupBy("shard").applyInArrow(near, _PARTS))
+    release(spark)
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(_read_places(batches))
+        for s in range(0, len(found), 2000):
+            part = found[s : s + 2000]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array([_pack(np.diff(p, prepend=0)) for _, p in part]), pa.array([len(p) for _, p in part], pa.int32())], names=["name", "places", "n"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack.compress(t) for t in raw_texts(batch.column("text"))], pa.binary())], names=["doc_id", "data"])
 
     def far_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni = base.value
         for batch in batches:
-            ids, lists = np.asarray(batch.column("doc_id")), batch.column("places")
-            ends = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths()))))
-            flat = np.asarray(lists.flatten())
-            for first, texts in runs(raw_texts(batch.column("text")), 8_000_000):
+            ids, size = np.asarray(batch.column("doc_id")), np.asarray(batch.column("n"))
+            ends = np.concatenate(([0], np.cumsum(size)))
+            flat = np.concatenate([np.cumsum(_unpack(p, n)[0], dtype=np.int64) for p, n in zip(batch.column("places").to_pylist(), size.tolist())] or [ends[:0]])
+            unpack = zstandard.ZstdDecompressor()
+            for first, texts in runs([unpack.decompress(t) for t in batch.column("data").to_pylist()], 8_000_000):
                 words = Words(texts)
                 h = words.hashes()
                 name, _ = uni.look(h)
@@ -274,9 +361,9 @@ def score(docs: DataFrame, alpha: float = ALPHA, size: int = UNIGRAMS) -> DataFr
                 text, place = text[fits], place[fits]
                 i = words.first[text] + place
                 roll = Rolling(h)
-                # fingerprints of the doubled contexts, as many as the place has, one after the other in a list of 32-bit numbers
+                # fingerprints of the doubled contexts, as many as the place has, one after the other in 24 bits each
                 levels = [(i, place, n) for n in ladder(int(place.max()) if len(place) else 0)]
-                columns = [np.where(p >= n, roll.hash(np.maximum(x - n, 0), x).astype(np.uint32), np.uint32(0)) for x, p, n in levels]
+                columns = [np.where(p >= n, (roll.hash(np.maximum(x - n, 0), x) >> np.uint64(40)).astype(np.uint32), np.uint32(0)) for x, p, n in levels]
                 key = roll.hash(i - 4, i)
                 for rows in _same_depth(place):
                     depth = len(ladder(int(place[rows].max())))
@@ -295,27 +382,21 @@ def score(docs: DataFrame, alpha: float = ALPHA, size: int = UNIGRAMS) -> DataFr
                 keys.append(cols[0]), words_.append(cols[2]), marks.append(cols[3:])
         doc, key, word = np.concatenate(docs_), np.concatenate(keys), np.concatenate(words_)
         depth = np.concatenate([np.full(len(k), len(m)) for k, m in zip(keys, marks)])
-        live, group = np.arange(len(key)), key.astype(np.int64)
-        longest, alone, both = np.full(len(key), 4), np.ones(len(key), dtype=np.int64), np.ones(len(key), dtype=np.int64)
-        for level in range(int(depth.max()) + 1):
-            if level:
-                column = np.concatenate([m[level - 1] if len(m) >= level else np.zeros(len(k), dtype=np.uint32) for k, m in zip(keys, marks)])
-                live = live[depth[live] >= level]
-                order, number = _ranges(group[live], column[live])
-                group[live] = _numbers(order, number)
-            order, number = _ranges(group[live])
-            size_ = _sizes(order, number)
-            if level:
-                live, size_ = live[size_ > 1], size_[size_ > 1]
-            order, number = _ranges(group[live], word[live])
-            longest[live], alone[live], both[live] = 4 << level, size_, _sizes(order, number)
-            if not len(live):
+        found = _Longest(key, word)
+        found.extend(4)
+        for level in range(1, int(depth.max()) + 1):
+            column = np.concatenate([m[level - 1] if len(m) >= level else np.zeros(len(k), dtype=np.uint32) for k, m in zip(keys, marks)])
+            found.extend(4 << level, depth >= level, column)
+            if not len(found.live):
                 break
         p = np.where(word < 1 << 16, p_of[np.minimum(word, (1 << 16) - 1)], uni.other)
-        yield _by_doc(doc, _chance(both, alone, p, alpha), longest)
+        yield _parts(_sum_rows(shards, doc, _chance(found.both, found.alone, p, alpha), found.length))
 
-    heads = texts_of.join(deep, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "places")
-    more = heads.mapInArrow(far_places, _BLOB).groupBy("shard").applyInArrow(far, _SUMS)
+    deep = once.where("deep").groupBy("bucket").applyInArrow(lists, "name long, places binary, n int")
+    texts = texts_of.where("text is not null").mapInArrow(packed, "doc_id long, data binary")
+    heads = texts.join(deep, F.col("doc_id") == F.col("name")).select("doc_id", "data", "places", "n")
+    more = cut(heads.mapInArrow(far_places, _BLOB).groupBy("shard").applyInArrow(far, _PARTS))
+    release(spark)
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first two words of each text, which have no context of two, and texts without words."""
@@ -328,10 +409,14 @@ def score(docs: DataFrame, alpha: float = ALPHA, size: int = UNIGRAMS) -> DataFr
                 text = np.repeat(np.arange(len(texts)), np.diff(words.first))
                 use = np.arange(len(text)) - words.first[text] < 2
                 own = ids[first : first + len(texts)]
-                logp = np.bincount(text[use], weights=np.log(p[use]), minlength=len(texts))
+                logp = np.bincount(text[use], weights=np.log(p[use]), minlength=len(texts)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(text[use], minlength=len(texts))), pa.array(logp), pa.array(np.zeros(len(texts)))], names=["doc_id", "n", "logp", "context"])
 
-    every = texts_of.mapInArrow(starts, _SUMS).union(once.select("doc_id", "n", "logp", "context")).union(more)
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _read_sums(batches)
+
+    summed = once.where("not deep").union(more).groupBy("bucket").applyInArrow(total, _SUMS)
+    every = texts_of.mapInArrow(starts, _SUMS).union(summed)
     summed = every.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("logp").alias("logp"), F.sum("context").alias("context"))
     summed = summed.join(names, F.col("doc_id") == F.col("name")).groupBy(F.col("own").alias("doc_id"))
     summed = summed.agg(F.sum("n").alias("n_words"), F.sum("logp").alias("logp"), F.sum("context").alias("context"))
