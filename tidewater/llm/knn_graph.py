@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import cut, table
+from .base import cut, release, table
 from .vectors import matrix, normalised
 
-NEIGHBOURS, DEGREE = 10, 32
+NEIGHBOURS, DEGREE = 10, 48
 TREES, CELL = 16, 1500
 ROUNDS, LEAST = 4, 0.01
 ENTRIES = 256
@@ -40,12 +40,8 @@ _SAMPLE = 4096
 
 
 def _shards(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _release(spark: SparkSession) -> None:
-    """Let the driver drop what no plan refers to any more: its shuffle files and checkpoints go with it."""
-    spark.sparkContext._jvm.System.gc()
+    """Several groups for each shuffle partition, as each is held in memory at once."""
+    return max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _best(row: np.ndarray, other: np.ndarray, cosine: np.ndarray, k: int) -> np.ndarray:
@@ -127,16 +123,17 @@ def build(vectors: DataFrame, degree: int = DEGREE, trees: int = TREES, cell: in
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
         pivot, ids, worst = (np.asarray(t.column(c)) for c in ("pivot", "id", "worst"))
-        x = matrix(t.column("v"), np.float16).astype(np.float32)
+        half_x = matrix(t.column("v"), np.float16)
         order = np.argsort(pivot, kind="stable")
         start = np.flatnonzero(np.concatenate(([True], np.diff(pivot[order]) != 0)))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for s, e in zip(start, np.append(start[1:], len(order))):
             own = order[s:e]
+            x = half_x[own].astype(np.float32)
             for a in range(0, len(own), 2048):
                 part = own[a : a + 2048]
-                c = x[part] @ x[own].T
+                c = x[a : a + 2048] @ x.T
                 c[np.arange(len(part)), a + np.arange(len(part))] = -2
                 i, j = np.nonzero(c > worst[part][:, None])
                 out.append((ids[part[i]], ids[own[j]], c[i, j]))
@@ -160,7 +157,7 @@ def build(vectors: DataFrame, degree: int = DEGREE, trees: int = TREES, cell: in
         better = cut(_merge(graph.union(found), degree))
         changed = better.join(graph.select(F.col("id").alias("i"), F.col("other").alias("o")), (F.col("id") == F.col("i")) & (F.col("other") == F.col("o")), "left_anti").count()
         graph = better
-        _release(spark)
+        release(spark)
         if changed <= least * n * degree:
             break
     return graph
@@ -226,7 +223,7 @@ def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: int = NE
         mixed = state.select("id", "other", "cosine", F.lit(True).alias("done")).union(found.select("id", "other", "cosine", F.lit(False).alias("done")))
         mixed = mixed.groupBy("id", "other").agg(F.max("cosine").alias("cosine"), F.max("done").alias("done"))
         state = cut(mixed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= beam).select("id", "other", "cosine", "done"))
-        _release(spark)
+        release(spark)
         if state.where("not done").isEmpty():
             break
     return _exact(state, queries, vectors, k)

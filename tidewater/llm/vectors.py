@@ -38,5 +38,10 @@ def normalised(df: DataFrame, id_column: str = "vec_id", column: str = "embeddin
 
 def matrix(column: pa.Array | pa.ChunkedArray, dtype=np.float32) -> np.ndarray:
     """Binary vectors of one size as a matrix."""
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), dtype=dtype).reshape(len(rows), -1) if rows else np.zeros((0, 0), dtype=dtype)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray) or not len(column):  # too large for one array, or empty
+        parts = [matrix(c, dtype) for c in column.chunks] if isinstance(column, pa.ChunkedArray) and len(column) else []
+        return np.concatenate(parts) if parts else np.zeros((0, 0), dtype=dtype)
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=dtype, offset=int(ends[0]), count=int(ends[-1] - ends[0]) // np.dtype(dtype).itemsize).reshape(len(column), -1)
