@@ -44,7 +44,7 @@ from .words import Words, spread
 ALPHA = 1.0
 UNIGRAMS = 65_535
 _NO_ID = -(2**63)
-_FLUSH = 1_500_000
+_FLUSH, _FLUSH_FAR = 1_200_000, 200_000
 _SUMS = "doc_id long, n long, logp double, context double"
 
 
@@ -346,12 +346,18 @@ def score(docs: DataFrame, alpha: float = ALPHA, size: int = UNIGRAMS) -> DataFr
 
     def far_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni = base.value
+        kept: dict[int, list[tuple[np.ndarray, ...]]] = {}
+
+        def flush(depth: int) -> pa.RecordBatch:
+            key, doc, *columns = (np.concatenate(x) for x in zip(*kept.pop(depth)))
+            return _shards_of(shards, key, doc, columns)
+
         for batch in batches:
             ids, size = np.asarray(batch.column("doc_id")), np.asarray(batch.column("n"))
             ends = np.concatenate(([0], np.cumsum(size)))
             flat = np.concatenate([np.cumsum(_unpack(p, n)[0], dtype=np.int64) for p, n in zip(batch.column("places").to_pylist(), size.tolist())] or [ends[:0]])
             unpack = zstandard.ZstdDecompressor()
-            for first, texts in runs([unpack.decompress(t) for t in batch.column("data").to_pylist()], 8_000_000):
+            for first, texts in runs([unpack.decompress(t) for t in batch.column("data").to_pylist()]):
                 words = Words(texts)
                 h = words.hashes()
                 name, _ = uni.look(h)
@@ -367,8 +373,11 @@ def score(docs: DataFrame, alpha: float = ALPHA, size: int = UNIGRAMS) -> DataFr
                 key = roll.hash(i - 4, i)
                 for rows in _same_depth(place):
                     depth = len(ladder(int(place[rows].max())))
-                    made = _shards_of(shards, key[rows], ids[first + text[rows]], [name[i[rows]], *(c[rows] for c in columns[:depth])])
-                    yield made
+                    kept.setdefault(depth, []).append((key[rows], ids[first + text[rows]], name[i[rows]], *(c[rows] for c in columns[:depth])))
+                    if sum(len(x[0]) for x in kept[depth]) >= _FLUSH_FAR:
+                        yield flush(depth)
+        for depth in [*kept]:
+            yield flush(depth)
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni = base.value
