@@ -215,3 +215,54 @@ def test_quality_empty(spark, mini):
     assert quality.score(none, quality.fit(none)).count() == 0
     blank = mini.df(spark).where("doc_id in (100000, 100001, 100002)")
     assert quality.keep_good(blank, quality.fit(blank)).count() == 0
+
+
+def brute_longest(rows, alpha=ngram_lm.ALPHA):
+    """As brute_scores, with contexts of every length."""
+    texts = [(d, [hash(w) for w in words(t)]) for d, t in rows]
+    uni = Counter(w for _, t in texts for w in t)
+    total = sum(uni.values())
+    out = {d: [0, 0.0, 0] for d, _ in rows}
+    live = [(d, t, i) for d, t in texts for i in range(len(t))]
+    best, n = {}, 0
+    groups = [list(range(len(live)))]
+    while groups:
+        n += 1
+        after = []
+        for g in groups:
+            by = {}
+            for k in g:
+                _, t, i = live[k]
+                if i >= n:
+                    by.setdefault(t[i - n], []).append(k)
+            for own in by.values():
+                if len(own) > 1:
+                    after.append(own)
+                    seen = Counter(live[k][1][live[k][2]] for k in own)
+                    for k in own:
+                        best[k] = n, len(own), seen[live[k][1][live[k][2]]]
+        groups = after
+    for k, (d, t, i) in enumerate(live):
+        p = uni[t[i]] / total
+        length, alone, both = best.get(k, (0, 0, 0))
+        out[d][0] += 1
+        out[d][1] += math.log((both - 1 + alpha * p) / (alone - 1 + alpha)) if length else math.log(p)
+        out[d][2] += length
+    return out
+
+
+@pytest.mark.parametrize("size,heavy", [(65_535, 200_000), (40, 5), (3000, 60)])
+def test_ngram_contexts_of_every_length_and_all_counts(spark, size, heavy):
+    rng = np.random.default_rng(3)
+    made = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, n) % 500) for n in (1, 2, 3, 40, 400, 900)]
+    parts = made[5].split()
+    made += [" ".join(parts[s:e]) + " z " + made[3] for s, e in ((0, 1), (3, 8), (10, 31), (50, 127), (55, 300), (0, 900), (200, 700))]
+    rows = [*enumerate(made), (100, None), (101, ""), (None, made[4]), (3, made[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in ngram_lm.score(docs, size=size, heavy=heavy).collect()}
+    want = brute_longest(rows)
+    assert got.keys() == want.keys()
+    for d, (n, logp, context) in want.items():
+        assert got[d].n_words == n
+        if n:
+            assert got[d].mean_logp == pytest.approx(logp / n, abs=1e-5) and got[d].mean_context == pytest.approx(context / n)

@@ -1,27 +1,24 @@
 """Unbounded n-gram scoring of every document against the whole corpus.
 
 Each word is predicted from the longest context (the words just before it in its
-document) that comes at another place of the corpus too:
+document, of any length from 1 on) that comes at another place of the corpus too:
 
     p(w | c) = (n(c w) + ALPHA * u(w)) / (n(c) + ALPHA)
 
 where the counts leave out the place that is scored, and u is the unigram
-distribution: the ``UNIGRAMS`` most frequent words by their counts, which are sent
-to every executor, the others alike.  Context lengths are 2, 3, 4 and then
-doubled, 8, 16, 32 and so on without an end; a word without a context of two
-that recurs has u(w).
-
-The corpus's places are sharded by the hash of their last two context words, so
-a context and its continuations meet in one shard.  A shard sorts its places by
-context from the nearest word outwards: a suffix array of the reversed corpus.
-All contexts of one shard that agree in their nearest words are then a range,
-whose ends are binary-searched, once for the context and once with the word that
-follows.  Sharding by document instead would have every place searched in every
-shard, which grows with the square of the corpus.
-
-Places whose context of four recurs go through a second set of shards, by those
-four words, with 24-bit fingerprints of the doubled contexts.  Words are compared
-by 64-bit hashes, in the shards by 24-bit ones within equal contexts.
+distribution of all words.  A word without a context that recurs has u(w).  The
+counts of the ``UNIGRAMS`` most frequent words are sent to every executor; places
+of the others are joined with the table of all counts.
+
+The prefix sums of the words' hashes are appended to one file in the folder that
+all executors share, so that any context of any place can be hashed from two of
+them.  Places are sharded by their last context word, or by the last two if the
+last alone comes more than ``HEAVY`` times.  In a shard, contexts of 1, 2, 4, 8, ...
+words are grouped as long as they recur, and the lengths between two of these are
+bisected, with one place standing for all that agree further on (``_longest``).
+Places after a ``HEAVY`` word without a longer context take their counts from a
+table of the pairs that such words begin.  All words and contexts are compared by
+64-bit hashes.
 
 Documents without words (null, empty) have n_words 0 and null scores.  Rows that
 repeat a doc_id are scored as one document; so are those with a null doc_id.
@@ -29,7 +26,11 @@ repeat a doc_id are scored as one document; so are those with a null doc_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import fcntl
+import os
+import shutil
+import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,39 +38,47 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import cut, id_and_text, prepare, raw_texts, release, runs, table
-from .repeats import Rolling
-from .words import Words, spread
+from .base import cut, id_and_text, prepare, raw_texts, release, runs, shared_folder, table
+from .repeats import inverse_powers
+from .words import Words, mix, powers
 
 ALPHA = 1.0
 UNIGRAMS = 65_535
 _NO_ID = -(2**63)
-_FLUSH, _FLUSH_FAR = 1_200_000, 200_000
+HEAVY = 200_000
+_FLUSH = 1_200_000
 _SUMS = "doc_id long, n long, logp double, context double"
 
 
 class Unigrams:
-    """The frequent words' ranks and probabilities; the others' share."""
+    """The frequent words' probabilities, and the number of all words."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> None:
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, heavy: int) -> None:
         order = np.argsort(words)
         self.word, count = words[order], counts[order]
-        self.p = count / max(1, total)
-        self.other = max(0, total - int(counts.sum())) / max(1, distinct - len(words)) / max(1, total) or 1 / max(1, total)
-        self.rank = np.argsort(np.argsort(-count, kind="stable"), kind="stable").astype(np.uint32)
+        self.total = max(1, total)
+        self.p = count / self.total
+        self.heavy = self.word[count > heavy]
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(32-bit names, probabilities): the rank of a frequent word, else a 24-bit hash beyond the ranks."""
-        each, which = np.unique(h, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.word, each), max(0, len(self.word) - 1))
-        known = self.word[at] == each if len(self.word) else np.zeros(len(each), dtype=bool)
-        name = (1 << 16) + (each >> np.uint64(40)).astype(np.uint32)
-        p = np.full(len(each), self.other)
-        name[known], p[known] = self.rank[at[known]], self.p[at[known]]
-        return name[which], p[which]
+        """(whether the word is in the table, its probability)."""
+        known, at = _among(self.word, h)
+        p = np.ones(len(h))
+        p[known] = self.p[at[known]]
+        return known, p
 
 
-def unigrams(docs: DataFrame, size: int = UNIGRAMS) -> Unigrams:
+def _among(words: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each hash is in the sorted words, where)."""
+    if not len(words):
+        return np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=np.int64)
+    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    return words[at] == h, at
+
+
+def _counts(docs: DataFrame, keys: Callable[[Words], np.ndarray]) -> DataFrame:
+    """(w, n): how often each of the keys comes in all texts."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, n = [], [], 0
 
@@ -79,7 +88,7 @@ def unigrams(docs: DataFrame, size: int = UNIGRAMS) -> Unigrams:
 
         for batch in batches:
             for _, texts in runs(raw_texts(batch.column("text"))):
-                each, k = np.unique(Words(texts).hashes(), return_counts=True)
+                each, k = np.unique(keys(Words(texts)), return_counts=True)
                 words.append(each), counts.append(k)
                 n += len(each)
                 if n > 2_000_000:
@@ -88,10 +97,44 @@ def unigrams(docs: DataFrame, size: int = UNIGRAMS) -> Unigrams:
         if n:
             yield total()
 
-    each = cut(id_and_text(docs).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    total, distinct = each.agg(F.sum("n"), F.count("*")).first()
+    return cut(id_and_text(docs).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+
+
+def unigrams(each: DataFrame, size: int = UNIGRAMS, heavy: int = HEAVY) -> Unigrams:
+    total = each.agg(F.sum("n")).first()[0]
     top = each.orderBy(F.col("n").desc(), "w").limit(size).toArrow()
-    return Unigrams(np.asarray(top.column("w")).view(np.uint64), np.asarray(top.column("n")), total or 0, distinct)
+    return Unigrams(np.asarray(top.column("w")).view(np.uint64), np.asarray(top.column("n")), total or 0, heavy)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair."""
+    with np.errstate(over="ignore"):
+        return mix(mix(a.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64))
+
+
+def _pairs(heavy: np.ndarray) -> Callable[[Words], np.ndarray]:
+    """The pairs that heavy words begin, and these words themselves where a word follows."""
+
+    def keys(words: Words) -> np.ndarray:
+        h = words.hashes()
+        after = np.ones(len(h), dtype=bool)
+        after[words.first[:-1][words.first[:-1] < len(h)]] = False
+        i = np.flatnonzero(after)
+        i = i[_among(heavy, h[i - 1])[0]]
+        return np.concatenate((_joined(h[i - 1], h[i]), h[i - 1]))
+
+    return keys
+
+
+def _append(path: str, data: np.ndarray) -> int:
+    """Add to a file that other tasks add to as well; the place, in elements, where the data begin."""
+    with open(path, "ab") as f:
+        fcntl.lockf(f, fcntl.LOCK_EX)
+        at = f.seek(0, os.SEEK_END)
+        at += f.write(b"\0" * (-at % 8))  # a task that was killed may have left a part of an element
+        f.write(data)
+        f.flush()
+    return at // 8
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -104,93 +147,147 @@ def _unpack(data: bytes, n: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(c.T).view(np.uint32).ravel() for c in raw]
 
 
-def _shards_of(shards: int, key: np.ndarray, doc: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+def _shards_of(shards: int, base: int, key: np.ndarray, doc: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     """One row for each shard: its documents' ids and, sorted by key, the rest of the keys, places in the ids and columns."""
     shard = (key % np.uint64(shards)).astype(np.int64)
     rest = (key // np.uint64(shards)).astype(np.uint32)
     order = np.argsort((shard.astype(np.uint64) << np.uint64(32)) | rest)
     edge = np.searchsorted(shard[order], np.arange(shards + 1))
-    rows: list[tuple[int, int, bytes, bytes]] = []
+    rows: list[tuple[int, int, int, bytes, bytes]] = []
     for s in range(shards):
         own = order[edge[s] : edge[s + 1]]
         if len(own):
             ids, at = np.unique(doc[own], return_inverse=True)
-            rows.append((s, len(own), ids.tobytes(), _pack(rest[own], at, *(c[own] for c in columns))))
-    cols = list(zip(*rows)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["shard", "n", "ids", "data"])
+            rows.append((s, len(own), base, ids.tobytes(), _pack(rest[own], at, *(c[own] for c in columns))))
+    cols = list(zip(*rows)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "n", "base", "ids", "data"])
 
 
-_BLOB = "shard int, n int, ids binary, data binary"
+_BLOB = "shard int, n int, base long, ids binary, data binary"
 
 
-def _read_shard(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """A shard's (documents, columns) in ranges of keys of about ``most`` places; a key's places are never parted."""
+def _read_shard(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """A shard's (documents, bases, places from the base, places in the text) in ranges of keys of about ``most`` places; a key's places are never parted."""
     parts = []
     for batch in batches:
-        for n, ids, data in zip(*(batch.column(c).to_pylist() for c in ("n", "ids", "data"))):
-            parts.append((np.frombuffer(ids, dtype=np.int64), *_unpack(data, n)))
-    total = sum(len(p[1]) for p in parts)
+        for n, base, ids, data in zip(*(batch.column(c).to_pylist() for c in ("n", "base", "ids", "data"))):
+            parts.append((np.frombuffer(ids, dtype=np.int64), base, *_unpack(data, n)))
+    total = sum(len(p[2]) for p in parts)
     ranges = -(-total // most)
+    # keys end at 2**64 // shards, which is below 2**32 in very many shards only; ranges may be empty then
     limits = (np.arange(ranges + 1) * (1 << 32) // max(1, ranges)).astype(np.int64)
-    edges = [np.searchsorted(p[1], limits) for p in parts]
+    edges = [np.searchsorted(p[2], limits) for p in parts]
     for r in range(ranges):
         own = [(p, slice(e[r], e[r + 1])) for p, e in zip(parts, edges) if e[r] < e[r + 1]]
         if own:
-            docs = np.concatenate([p[0][p[2][at]] for p, at in own])
-            yield docs, [np.concatenate([p[k][at] for p, at in own]) for k in range(1, len(own[0][0])) if k != 2]
+            yield (
+                np.concatenate([p[0][p[3][at]] for p, at in own]),
+                np.concatenate([np.full(at.stop - at.start, p[1]) for p, at in own]),
+                *(np.concatenate([p[k][at] for p, at in own]).astype(np.int64) for k in (4, 5)),
+            )
 
 
-def _ranges(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(order, range number of each place in that order) of equal values, or pairs of values, below 2**32."""
-    key = a.astype(np.uint64)
-    if b is not None:
-        key = (key << np.uint64(32)) | b
+def _number(key: np.ndarray) -> tuple[np.ndarray, int]:
+    """(number of each key's group, how many groups)."""
     order = np.argsort(key)
-    key = key[order]
-    return order, np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))[: len(order)]
-
-
-def _sizes(order: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """The size of each place's range; the ranges' ends are found by binary search."""
-    out = np.empty(len(order), dtype=np.int64)
-    if len(order):
-        out[order] = np.diff(np.searchsorted(number, np.arange(number[-1] + 2)))[number]
-    return out
-
-
-def _numbers(order: np.ndarray, number: np.ndarray) -> np.ndarray:
-    out = np.empty(len(order), dtype=np.int64)
-    out[order] = number
-    return out
-
+    sort = key[order]
+    number = np.empty(len(key), dtype=np.int64)
+    number[order] = rank = np.concatenate(([0], np.cumsum(sort[1:] != sort[:-1])))[: len(key)]
+    return number, int(rank[-1]) + 1 if len(key) else 0
+
+
+def _longest(context: Callable[[np.ndarray, np.ndarray], np.ndarray], place: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place the length of its longest context that recurs, and that context's counts alone and with the word.
+
+    ``context(items, lengths)`` hashes contexts.  Going up, contexts of 1, 2, 4, ...
+    words are grouped while they recur.  A place that is alone at 2 * r has its length
+    in r ... 2 * r - 1: its group of r goes down to be bisected.  There, those that
+    agree at the middle stand as one (for each following word, with their number)
+    for the places that don't, which are looked for in the lower half; in the
+    upper half the same is done among themselves.
+    """
+    length, alone, both = np.zeros(len(place), dtype=np.int64), np.ones(len(place), dtype=np.int64), np.ones(len(place), dtype=np.int64)
+
+    def parted(item: np.ndarray, group: np.ndarray, many: np.ndarray, final: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """(items that recur at n, their groups, what goes down: items, groups, numbers, whether they are looked for)."""
+        has = np.flatnonzero(place[item] >= n)
+        sub, size = _number(_joined(group[has], context(item[has], n[has])))
+        again = np.bincount(sub, weights=many[has], minlength=size)[sub] > 1
+        recur, sub = has[again], sub[again]
+        rest = np.ones(len(item), dtype=bool)
+        rest[recur] = False
+        rest = np.flatnonzero(rest)
+        pair, pairs = _number(_joined(sub, word[item[recur]]))
+        first = np.empty(pairs, dtype=np.int64)
+        first[pair] = np.arange(len(pair))
+        stand = recur[first]
+        down = np.concatenate((rest, stand))
+        number = np.concatenate((many[rest], np.bincount(pair, weights=many[recur], minlength=pairs).astype(np.int64)))
+        sought = np.concatenate((final[rest], np.zeros(pairs, dtype=bool)))
+        return recur, sub, (down, number, sought)
+
+    def wanted(group: np.ndarray, final: np.ndarray) -> np.ndarray:
+        """Rows of groups in which a place is looked for."""
+        return np.flatnonzero(np.bincount(group, weights=final)[group] > 0) if len(group) else np.zeros(0, dtype=np.int64)
+
+    live = np.flatnonzero(place >= 1)
+    group, size = _number(context(live, np.ones(len(live), dtype=np.int64)))
+    keep = np.bincount(group, minlength=size)[group] > 1
+    live, group = live[keep], group[keep]
+    waiting, n = [], 1
+    while len(live):
+        one = np.ones(len(live), dtype=np.int64)
+        recur, sub, (down, number, sought) = parted(live, group, one, one.astype(bool), 2 * n * one)
+        use = wanted(group[down], sought)
+        waiting.append((live[down][use], group[down][use], number[use], sought[use], np.full(len(use), n)))
+        live, group, n = live[recur], sub, 2 * n
+    rows = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, bool, np.int64))
+    step = n // 2
+    while True:
+        # those of contexts of 2 * step and more are in rows, each with the length that it is sure of
+        if waiting:
+            new = waiting.pop()
+            shift = rows[1].max() + 1 if len(rows[1]) else 0
+            rows = tuple(np.concatenate((a, b + shift if k == 1 else b)) for k, (a, b) in enumerate(zip(rows, new)))
+        step //= 2
+        if not step:
+            break
+        item, group, many, final, low = rows
+        recur, sub, (down, number, sought) = parted(item, group, many, final, low + step)
+        up, below = wanted(sub, final[recur]), wanted(group[down], sought)
+        shift = sub.max() + 1 if len(sub) else 0
+        rows = (
+            np.concatenate((item[recur][up], item[down][below])),
+            np.concatenate((sub[up], group[down][below] + shift)),
+            np.concatenate((many[recur][up], number[below])),
+            np.concatenate((final[recur][up], sought[below])),
+            np.concatenate((low[recur][up] + step, low[down][below])),
+        )
+    item, group, many, final, low = rows
+    if len(item):
+        pair, pairs = _number(_joined(group, word[item]))
+        own = item[final]
+        length[own] = low[final]
+        alone[own] = np.bincount(group, weights=many)[group[final]].astype(np.int64)
+        both[own] = np.bincount(pair, weights=many, minlength=pairs)[pair[final]].astype(np.int64)
+    return length, alone, both
+
+
+_PARTS = "bucket int, n int, ids binary, counts binary, w long, pair long, own long, alone long, together long"
 
-class _Longest:
-    """For each place the longest context that recurs, and its counts alone and with the word that follows."""
 
-    def __init__(self, key: np.ndarray, word: np.ndarray) -> None:
-        self.word, self.live, self.group = word, np.arange(len(key)), key
-        self.length, self.alone, self.both = (np.full(len(key), x, dtype=np.int64) for x in (0, 1, 1))
-
-    def extend(self, length: int, has: np.ndarray | None = None, more: np.ndarray | None = None) -> None:
-        """Go on to contexts of ``length``, told apart by ``more``, at the places that ``has`` names."""
-        live = self.live if has is None else self.live[has[self.live]]
-        order, number = _ranges(self.group[live], None if more is None else more[live])
-        if self.group.dtype != np.int64:
-            self.group = self.group.astype(np.int64)
-        self.group[live] = _numbers(order, number)
-        size = _sizes(order, number)
-        self.live = live = live[size > 1]
-        self.length[live], self.alone[live] = length, size[size > 1]
-        self.both[live] = _sizes(*_ranges(self.group[live], self.word[live]))
-
-
-_PARTS = "bucket int, deep boolean, n int, places int, ids binary, counts binary, rest binary"
+def _parts(rows: list[tuple]) -> pa.RecordBatch:
+    """Sums of documents, a row for each bucket."""
+    columns = list(zip(*rows)) or [()] * 4
+    none = [pa.nulls(len(rows), pa.int64())] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))] + none, names=["bucket", "n", "ids", "counts", "w", "pair", "own", "alone", "together"])
 
 
-def _parts(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    columns = list(zip(*rows)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "deep", "n", "places", "ids", "counts", "rest"])
+def _open_places(w: np.ndarray, pair: np.ndarray, heavy: np.ndarray, own: np.ndarray, alone: np.ndarray, both: np.ndarray) -> pa.RecordBatch:
+    """Places whose word or, where ``heavy`` says so, pair is yet to be joined with its count."""
+    n = len(w)
+    none = [pa.nulls(n, k) for k in (pa.int32(), pa.int32(), pa.binary(), pa.binary())]
+    return pa.RecordBatch.from_arrays(none + [pa.array(w.view(np.int64)), pa.array(pair.view(np.int64), mask=~heavy), pa.array(own), pa.array(alone), pa.array(both)], names=["bucket", "n", "ids", "counts", "w", "pair", "own", "alone", "together"])
 
 
 def _bucketed(buckets: int, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -208,22 +305,7 @@ def _sum_rows(buckets: int, doc: np.ndarray, logp: np.ndarray, context: np.ndarr
     n, total, length = (np.bincount(at, weights=w, minlength=len(ids)) for w in (None, logp, context))
     words = length.astype(np.uint64)
     packed = total.astype(np.float32).view(np.uint32)
-    return [(b, False, len(own), 0, ids[own].tobytes(), _pack(n[own], packed[own], words[own], words[own] >> np.uint64(32)), b"") for b, own in _bucketed(buckets, ids)]
-
-
-def _deep_rows(buckets: int, doc: np.ndarray, place: np.ndarray) -> list[tuple]:
-    """Each document's places, ascending, as differences, a row for each bucket of documents."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order].astype(np.int64)
-    start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))[: len(doc)]
-    size = np.diff(np.append(start, len(doc)))
-    step = np.diff(place, prepend=0)
-    step[start] = place[start]
-    rows = []
-    for b, own in _bucketed(buckets, doc[start]):
-        row, k = spread(size[own])
-        rows.append((b, True, len(own), len(row), doc[start[own]].tobytes(), _pack(size[own]), _pack(step[start[own][row] + k])))
-    return rows
+    return [(b, len(own), ids[own].tobytes(), _pack(n[own], packed[own], words[own], words[own] >> np.uint64(32))) for b, own in _bucketed(buckets, ids)]
 
 
 def _read_sums(batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
@@ -238,197 +320,131 @@ def _read_sums(batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(logp), pa.array(context)], names=["doc_id", "n", "logp", "context"])
 
 
-def _read_places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    """(document, its places in all rows, each once)."""
-    docs, places = [], []
-    for batch in batches:
-        for n, k, ids, counts, rest in zip(*(batch.column(c).to_pylist() for c in ("n", "places", "ids", "counts", "rest"))):
-            [size], [step] = _unpack(counts, n), _unpack(rest, k)
-            total = np.cumsum(step, dtype=np.int64)
-            first = np.cumsum(size, dtype=np.int64) - size
-            docs.append(np.repeat(np.frombuffer(ids, dtype=np.int64), size))
-            places.append(total - np.repeat(total[first] - step[first], size))
-    doc, place = np.concatenate(docs), np.concatenate(places)
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    once = np.concatenate(([True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])))
-    doc, place = doc[once], place[once]
-    start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-    for s, e in zip(start.tolist(), np.append(start[1:], len(doc)).tolist()):
-        yield int(doc[s]), place[s:e]
-
-
 def _chance(with_word: np.ndarray, alone: np.ndarray, p: np.ndarray, alpha: float) -> np.ndarray:
     return np.log((with_word - 1 + alpha * p) / (alone - 1 + alpha))
 
 
-def ladder(limit: int) -> list[int]:
-    """The context lengths from 8 up to a limit."""
-    out, n = [], 8
-    while n <= limit:
-        out.append(n)
-        n *= 2
-    return out
-
-
-def score(docs: DataFrame, alpha: float = ALPHA, size: int = UNIGRAMS) -> DataFrame:
+def score(docs: DataFrame, alpha: float = ALPHA, size: int = UNIGRAMS, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, n_words, mean_logp, perplexity, mean_context), one row for each doc_id."""
     spark = prepare(docs.sparkSession)
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    base = spark.sparkContext.broadcast(unigrams(docs, size))
+    each = _counts(docs, Words.hashes)
+    table_ = unigrams(each, size, heavy)
+    begun = _counts(docs, _pairs(table_.heavy)) if len(table_.heavy) else each.where("false")
+    # how often a word follows each heavy word
+    heads = {r[0]: r[1] for r in begun.where(F.col("w").isin(table_.heavy.view(np.int64).tolist())).collect()} if len(table_.heavy) else {}
+    table_.followed = np.array([heads.get(w, 0) for w in table_.heavy.view(np.int64).tolist()], dtype=np.int64)
+    base = spark.sparkContext.broadcast(table_)
     release(spark)
-    every_row = id_and_text(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("own"), "text")
-    # a row goes by its id's and text's hash, so that texts that share an id keep their places apart
-    texts_of = every_row.select(F.xxhash64("own", "text").alias("doc_id"), "text")
-    names = every_row.select(F.xxhash64("own", "text").alias("name"), "own").distinct()
+    shared = shared_folder(spark)
+    if "://" in shared.removeprefix("file://"):
+        raise ValueError("op3 reads places at random: spark.checkpoint.dir must be a mounted folder that all executors share")
+    shared = shared.removeprefix("file:") if not shared.startswith("file://") else shared.removeprefix("file://")
+    os.makedirs(shared, exist_ok=True)
+    folder = tempfile.mkdtemp(prefix="words-", dir=shared)
+    path = f"{folder}/sums"
+    open(path, "wb").close()
+    os.chmod(folder, 0o777), os.chmod(path, 0o666)
+    texts_of = id_and_text(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni = base.value
-        parts: list[tuple[np.ndarray, ...]] = []
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         n = 0
 
         def flush() -> pa.RecordBatch:
-            key, doc, *columns = (np.concatenate(x) for x in zip(*parts))
-            return _shards_of(shards, key, doc, columns)
+            h, doc, place = (np.concatenate(x) for x in zip(*parts))
+            with np.errstate(over="ignore"):
+                start = _append(path, np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * powers(len(h))))))
+            i = np.flatnonzero(place >= 1)
+            key = mix(h[i - 1])
+            two = _among(uni.heavy, h[i - 1])[0]
+            far = np.flatnonzero(two & (place[i] >= 2))
+            key[far] = _joined(h[i[far] - 1], h[i[far] - 2])
+            # a heavy word that begins its text has no context of two to share
+            lone = np.flatnonzero(two & (place[i] < 2))
+            key[lone] = _joined(h[i[lone] - 1], h[i[lone]])
+            return _shards_of(shards, start, key, doc[i], [i, place[i]])
 
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
             for first, texts in runs(raw_texts(batch.column("text"))):
                 words = Words(texts)
-                h = words.hashes()
-                name, _ = uni.look(h)
                 text = np.repeat(np.arange(len(texts)), np.diff(words.first))
-                place = np.arange(len(h)) - words.first[text]
-                i = np.flatnonzero(place >= 2)
-                key = Rolling(h).hash(i - 2, i)
-                before = lambda k: np.where(place[i] >= k, name[np.maximum(i - k, 0)], np.uint32(0xFFFFFFFF))  # noqa: E731,B023
-                parts.append((key, ids[first + text[i]], name[i], before(3), before(4), place[i]))
-                n += len(i)
+                parts.append((words.hashes(), ids[first + text], np.arange(len(words)) - words.first[text]))
+                n += len(words)
                 if n >= _FLUSH:
                     yield flush()
                     parts, n = [], 0
         if n:
             yield flush()
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni = base.value
-        p_of = np.full(1 << 16, uni.other)
-        p_of[uni.rank] = uni.p
+        all_sums = np.memmap(path, dtype=np.uint64, mode="r")
         sums: list[tuple[np.ndarray, ...]] = []
-        deeper: list[tuple[np.ndarray, ...]] = []
-        for doc, (key, word, third, fourth, place) in _read_shard(batches):
-            found = _Longest(key, word)
-            found.extend(2)
-            found.extend(3, place >= 3, third)
-            found.extend(4, place >= 4, fourth)
-            p = np.where(word < 1 << 16, p_of[np.minimum(word, (1 << 16) - 1)], uni.other)
-            logp = np.where(found.length > 0, _chance(found.both, found.alone, p, alpha), np.log(p)).astype(np.float32)
-            deep = found.length == 4
-            sums.append((doc[~deep], logp[~deep], found.length[~deep].astype(np.uint8)))
-            deeper.append((doc[deep], place[deep]))
-        yield _parts(_sum_rows(shards, *(np.concatenate(x) for x in zip(*sums))))
-        del sums
-        yield _parts(_deep_rows(shards, *(np.concatenate(x) for x in zip(*deeper))))
-
-    once = cut(texts_of.mapInArrow(places, _BLOB).groupBy("shard").applyInArrow(near, _PARTS))
-    release(spark)
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = list(_read_places(batches))
-        for s in range(0, len(found), 2000):
-            part = found[s : s + 2000]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array([_pack(np.diff(p, prepend=0)) for _, p in part]), pa.array([len(p) for _, p in part], pa.int32())], names=["name", "places", "n"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack.compress(t) for t in raw_texts(batch.column("text"))], pa.binary())], names=["doc_id", "data"])
-
-    def far_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uni = base.value
-        kept: dict[int, list[tuple[np.ndarray, ...]]] = {}
-
-        def flush(depth: int) -> pa.RecordBatch:
-            key, doc, *columns = (np.concatenate(x) for x in zip(*kept.pop(depth)))
-            return _shards_of(shards, key, doc, columns)
-
-        for batch in batches:
-            ids, size = np.asarray(batch.column("doc_id")), np.asarray(batch.column("n"))
-            ends = np.concatenate(([0], np.cumsum(size)))
-            flat = np.concatenate([np.cumsum(_unpack(p, n)[0], dtype=np.int64) for p, n in zip(batch.column("places").to_pylist(), size.tolist())] or [ends[:0]])
-            unpack = zstandard.ZstdDecompressor()
-            for first, texts in runs([unpack.decompress(t) for t in batch.column("data").to_pylist()]):
-                words = Words(texts)
-                h = words.hashes()
-                name, _ = uni.look(h)
-                text = np.repeat(np.arange(len(texts)), np.diff(ends[first : first + len(texts) + 1]))
-                place = flat[ends[first] : ends[first + len(texts)]].astype(np.int64)
-                fits = place < np.diff(words.first)[text]
-                text, place = text[fits], place[fits]
-                i = words.first[text] + place
-                roll = Rolling(h)
-                # fingerprints of the doubled contexts, as many as the place has, one after the other in 24 bits each
-                levels = [(i, place, n) for n in ladder(int(place.max()) if len(place) else 0)]
-                columns = [np.where(p >= n, (roll.hash(np.maximum(x - n, 0), x) >> np.uint64(40)).astype(np.uint32), np.uint32(0)) for x, p, n in levels]
-                key = roll.hash(i - 4, i)
-                for rows in _same_depth(place):
-                    depth = len(ladder(int(place[rows].max())))
-                    kept.setdefault(depth, []).append((key[rows], ids[first + text[rows]], name[i[rows]], *(c[rows] for c in columns[:depth])))
-                    if sum(len(x[0]) for x in kept[depth]) >= _FLUSH_FAR:
-                        yield flush(depth)
-        for depth in [*kept]:
-            yield flush(depth)
-
-    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uni = base.value
-        p_of = np.full(1 << 16, uni.other)
-        p_of[uni.rank] = uni.p
-        docs_, keys, words_, marks = [], [], [], []
-        for batch in batches:
-            for n, ids, data in zip(*(batch.column(c).to_pylist() for c in ("n", "ids", "data"))):
-                cols = _unpack(data, n)
-                docs_.append(np.frombuffer(ids, dtype=np.int64)[cols[1]])
-                keys.append(cols[0]), words_.append(cols[2]), marks.append(cols[3:])
-        doc, key, word = np.concatenate(docs_), np.concatenate(keys), np.concatenate(words_)
-        depth = np.concatenate([np.full(len(k), len(m)) for k, m in zip(keys, marks)])
-        found = _Longest(key, word)
-        found.extend(4)
-        for level in range(1, int(depth.max()) + 1):
-            column = np.concatenate([m[level - 1] if len(m) >= level else np.zeros(len(k), dtype=np.uint32) for k, m in zip(keys, marks)])
-            found.extend(4 << level, depth >= level, column)
-            if not len(found.live):
-                break
-        p = np.where(word < 1 << 16, p_of[np.minimum(word, (1 << 16) - 1)], uni.other)
-        yield _parts(_sum_rows(shards, doc, _chance(found.both, found.alone, p, alpha), found.length))
-
-    deep = once.where("deep").groupBy("bucket").applyInArrow(lists, "name long, places binary, n int")
-    texts = texts_of.where("text is not null").mapInArrow(packed, "doc_id long, data binary")
-    heads = texts.join(deep, F.col("doc_id") == F.col("name")).select("doc_id", "data", "places", "n")
-    more = cut(heads.mapInArrow(far_places, _BLOB).groupBy("shard").applyInArrow(far, _PARTS))
+        for doc, start, at, place in _read_shard(batches):
+            inverse = inverse_powers(int(at.max()) + 2)
+            g = start + at
+            here = all_sums[g]
+
+            def context(items: np.ndarray, n: np.ndarray) -> np.ndarray:
+                with np.errstate(over="ignore"):
+                    return mix((here[items] - all_sums[g[items] - n]) * inverse[at[items] - n] + n.astype(np.uint64))  # noqa: B023
+
+            with np.errstate(over="ignore"):
+                word = (all_sums[g + 1] - here) * inverse[at]
+                last = (here - all_sums[g - 1]) * inverse[at - 1]
+            length, alone, both = _longest(context, place, word)
+            known, p = uni.look(word)
+            # by their last two words, these met only a part of the places with their last one
+            two, rank = _among(uni.heavy, last)
+            two &= length < 2
+            length[two], alone[two] = np.where(uni.followed[rank[two]] > 1, 1, 0), uni.followed[rank[two]]
+            ready = known & ~two
+            logp = np.where(length > 0, _chance(both, alone, p, alpha), np.log(p))
+            sums.append((doc, np.where(ready, logp, 0.0), length.astype(np.uint32)))
+            late = np.flatnonzero(~ready)
+            if len(late):
+                alone[length == 0] = 0
+                yield _open_places(word[late], _joined(last[late], word[late]), two[late], doc[late], alone[late], both[late])
+        if sums:
+            yield _parts(_sum_rows(shards, *(np.concatenate(x) for x in zip(*sums))))
+
+    try:
+        once = cut(texts_of.mapInArrow(places, _BLOB).groupBy("shard").applyInArrow(found, _PARTS))
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
     release(spark)
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The first two words of each text, which have no context of two, and texts without words."""
-        uni = base.value
+        """The first word of each text, which has no context, and texts without words."""
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
             for first, texts in runs([None if t is None else _head(t) for t in raw_texts(batch.column("text"))]):
                 words = Words(texts)
-                _, p = uni.look(words.hashes())
-                text = np.repeat(np.arange(len(texts)), np.diff(words.first))
-                use = np.arange(len(text)) - words.first[text] < 2
-                own = ids[first : first + len(texts)]
-                logp = np.bincount(text[use], weights=np.log(p[use]), minlength=len(texts)).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(text[use], minlength=len(texts))), pa.array(logp), pa.array(np.zeros(len(texts)))], names=["doc_id", "n", "logp", "context"])
+                has = np.diff(words.first) > 0
+                w = np.zeros(len(texts), dtype=np.uint64)
+                w[has] = words.hashes()[words.first[:-1][has]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + len(texts)]), pa.array(w.view(np.int64), mask=~has)], names=["own", "w"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _read_sums(batches)
 
-    summed = once.where("not deep").union(more).groupBy("bucket").applyInArrow(total, _SUMS)
-    every = texts_of.mapInArrow(starts, _SUMS).union(summed)
-    summed = every.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("logp").alias("logp"), F.sum("context").alias("context"))
-    summed = summed.join(names, F.col("doc_id") == F.col("name")).groupBy(F.col("own").alias("doc_id"))
-    summed = summed.agg(F.sum("n").alias("n_words"), F.sum("logp").alias("logp"), F.sum("context").alias("context"))
+    summed = once.where("bucket is not null").groupBy("bucket").applyInArrow(total, _SUMS)
+    begin = texts_of.mapInArrow(starts, "own long, w long")
+    late = once.where("bucket is null").select("w", "pair", "own", "alone", "together")
+    pairs = begun.select(F.col("w").alias("pair_"), F.col("n").alias("pair_n"))
+    # the places that need no pair count aren't shuffled by it
+    paired = late.where("pair is not null").join(pairs, F.col("pair") == F.col("pair_")).select("w", "own", "alone", F.col("pair_n").alias("together"))
+    late = late.where("pair is null").select("w", "own", "alone", "together").union(paired).withColumn("first", F.lit(0))
+    late = late.union(begin.where("w is not null").select("w", "own", F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit(1)))
+    p = F.col("u") / F.lit(float(table_.total))
+    logp = F.when(F.col("alone") > 1, F.log((F.col("together") - 1 + alpha * p) / (F.col("alone") - 1 + alpha))).otherwise(F.log(p))
+    late = late.join(each.select(F.col("w").alias("w_"), F.col("n").alias("u")), F.col("w") == F.col("w_"))
+    late = late.groupBy("own").agg(F.sum("first").cast("long").alias("n"), F.sum(logp).alias("logp")).select(F.col("own").alias("doc_id"), "n", "logp", F.lit(0.0).alias("context"))
+    blank = begin.where("w is null").select(F.col("own").alias("doc_id"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("logp"), F.lit(0.0).alias("context"))
+    summed = summed.union(late).union(blank).groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("logp").alias("logp"), F.sum("context").alias("context"))
     mean = F.when(F.col("n_words") > 0, F.col("logp") / F.col("n_words"))
     return summed.select(
         F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"), "n_words", mean.alias("mean_logp"), F.exp(-mean).alias("perplexity"), F.when(F.col("n_words") > 0, F.col("context") / F.col("n_words")).alias("mean_context")
@@ -436,19 +452,13 @@ def score(docs: DataFrame, alpha: float = ALPHA, size: int = UNIGRAMS) -> DataFr
 
 
 def _head(text: bytes) -> bytes:
-    """The text up to the end of its second word or, where that takes long to find, all of it."""
+    """The text up to the end of its first word or, where that takes long to find, all of it."""
     for size in (200, 20_000):
         part = text[:size]
-        if len(part) == len(text) or len(Words([part])) > 3:
+        if len(part) == len(text) or len(Words([part])) > 1:
             return part
     return text
 
 
-def _same_depth(place: np.ndarray) -> list[np.ndarray]:
-    """Rows by the number of doubled contexts that their place has."""
-    depth = np.floor(np.log2(np.maximum(place, 1) / 8)).astype(np.int64)
-    return [np.flatnonzero(depth == d) for d in np.unique(depth)]
-
-
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
