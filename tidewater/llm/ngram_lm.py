@@ -147,44 +147,47 @@ def _unpack(data: bytes, n: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(c.T).view(np.uint32).ravel() for c in raw]
 
 
-def _shards_of(shards: int, base: int, key: np.ndarray, doc: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """One row for each shard: its documents' ids and, sorted by key, the rest of the keys, places in the ids and columns."""
+def _shards_of(shards: int, base: int, size: int, texts: int, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """One row for each shard: the rest of the keys, sorted and as differences, and the places ``at``, ascending within a key."""
     shard = (key % np.uint64(shards)).astype(np.int64)
     rest = (key // np.uint64(shards)).astype(np.uint32)
-    order = np.argsort((shard.astype(np.uint64) << np.uint64(32)) | rest)
+    order = np.argsort((shard.astype(np.uint64) << np.uint64(32)) | rest, kind="stable")
     edge = np.searchsorted(shard[order], np.arange(shards + 1))
-    rows: list[tuple[int, int, int, bytes, bytes]] = []
+    rows: list[tuple[int, int, int, int, int, bytes]] = []
     for s in range(shards):
         own = order[edge[s] : edge[s + 1]]
         if len(own):
-            ids, at = np.unique(doc[own], return_inverse=True)
-            rows.append((s, len(own), base, ids.tobytes(), _pack(rest[own], at, *(c[own] for c in columns))))
-    cols = list(zip(*rows)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "n", "base", "ids", "data"])
+            rows.append((s, len(own), base, size, texts, _pack(np.diff(rest[own].astype(np.int64), prepend=0), at[own])))
+    cols = list(zip(*rows)) or [()] * 6
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["shard", "n", "base", "size", "texts", "data"])
 
 
-_BLOB = "shard int, n int, base long, ids binary, data binary"
+_BLOB = "shard int, n int, base long, size long, texts int, data binary"
 
 
-def _read_shard(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _read_shard(batches: Iterator[pa.RecordBatch], file: np.ndarray, most: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """A shard's (documents, bases, places from the base, places in the text) in ranges of keys of about ``most`` places; a key's places are never parted."""
     parts = []
     for batch in batches:
-        for n, base, ids, data in zip(*(batch.column(c).to_pylist() for c in ("n", "base", "ids", "data"))):
-            parts.append((np.frombuffer(ids, dtype=np.int64), base, *_unpack(data, n)))
-    total = sum(len(p[2]) for p in parts)
+        for n, base, size, texts, data in zip(*(batch.column(c).to_pylist() for c in ("n", "base", "size", "texts", "data"))):
+            rest, at = _unpack(data, n)
+            parts.append((np.cumsum(rest, dtype=np.int64), at, base, size, texts))
+    total = sum(len(p[0]) for p in parts)
     ranges = -(-total // most)
-    # keys end at 2**64 // shards, which is below 2**32 in very many shards only; ranges may be empty then
-    limits = (np.arange(ranges + 1) * (1 << 32) // max(1, ranges)).astype(np.int64)
-    edges = [np.searchsorted(p[2], limits) for p in parts]
+    top = max((int(p[0][-1]) for p in parts), default=0) + 1
+    limits = np.arange(ranges + 1) * top // max(1, ranges)
+    edges = [np.searchsorted(p[0], limits) for p in parts]
     for r in range(ranges):
-        own = [(p, slice(e[r], e[r + 1])) for p, e in zip(parts, edges) if e[r] < e[r + 1]]
-        if own:
-            yield (
-                np.concatenate([p[0][p[3][at]] for p, at in own]),
-                np.concatenate([np.full(at.stop - at.start, p[1]) for p, at in own]),
-                *(np.concatenate([p[k][at] for p, at in own]).astype(np.int64) for k in (4, 5)),
-            )
+        found: list[tuple[np.ndarray, ...]] = []
+        for (_, all_at, base, size, texts), e in zip(parts, edges):
+            if e[r] < e[r + 1]:
+                at = all_at[e[r] : e[r + 1]].astype(np.int64)
+                first, ids = file[base + size : base + size + 2 * texts].view(np.int64).reshape(2, texts)
+                text = np.searchsorted(first, at, side="right") - 1
+                found.append((ids[text], np.full(len(at), base), at, at - first[text]))
+        if found:
+            yield tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _number(key: np.ndarray) -> tuple[np.ndarray, int]:
@@ -273,21 +276,29 @@ def _longest(context: Callable[[np.ndarray, np.ndarray], np.ndarray], place: np.
     return length, alone, both
 
 
-_PARTS = "bucket int, n int, ids binary, counts binary, w long, pair long, own long, alone long, together long"
+_PARTS = "bucket int, n int, ids binary, counts binary"
+_LATE = "w long, pair long, own long, alone long, together long"
 
 
 def _parts(rows: list[tuple]) -> pa.RecordBatch:
     """Sums of documents, a row for each bucket."""
     columns = list(zip(*rows)) or [()] * 4
-    none = [pa.nulls(len(rows), pa.int64())] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))] + none, names=["bucket", "n", "ids", "counts", "w", "pair", "own", "alone", "together"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "n", "ids", "counts"])
 
 
-def _open_places(w: np.ndarray, pair: np.ndarray, heavy: np.ndarray, own: np.ndarray, alone: np.ndarray, both: np.ndarray) -> pa.RecordBatch:
-    """Places whose word or, where ``heavy`` says so, pair is yet to be joined with its count."""
-    n = len(w)
-    none = [pa.nulls(n, k) for k in (pa.int32(), pa.int32(), pa.binary(), pa.binary())]
-    return pa.RecordBatch.from_arrays(none + [pa.array(w.view(np.int64)), pa.array(pair.view(np.int64), mask=~heavy), pa.array(own), pa.array(alone), pa.array(both)], names=["bucket", "n", "ids", "counts", "w", "pair", "own", "alone", "together"])
+def _open_places(w: np.ndarray, pair: np.ndarray, own: np.ndarray, alone: np.ndarray, both: np.ndarray) -> pa.RecordBatch:
+    """Places whose word or, where it isn't 0, pair is yet to be joined with its count, in one row without a bucket."""
+    order = np.lexsort((own, w, pair))
+    halves = [h[order] for c in (w, pair, own, alone, both) for h in c.view(np.uint32).reshape(-1, 2).T]
+    return _parts([(None, len(w), b"", _pack(*halves))])
+
+
+def _read_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for n, data in zip(batch.column("n").to_pylist(), batch.column("counts").to_pylist()):
+            halves = _unpack(data, n)
+            columns = [np.ascontiguousarray(np.stack(halves[k : k + 2], axis=1)).view(np.int64).ravel() for k in range(0, 10, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w", "pair", "own", "alone", "together"])
 
 
 def _bucketed(buckets: int, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -349,13 +360,14 @@ def score(docs: DataFrame, alpha: float = ALPHA, size: int = UNIGRAMS, heavy: in
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni = base.value
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         n = 0
 
         def flush() -> pa.RecordBatch:
-            h, doc, place = (np.concatenate(x) for x in zip(*parts))
+            h, place, first, doc = (np.concatenate(x) for x in zip(*parts))
             with np.errstate(over="ignore"):
-                start = _append(path, np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * powers(len(h))))))
+                sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * powers(len(h)))))
+            start = _append(path, np.concatenate((sums, first.view(np.uint64), doc.view(np.uint64))))
             i = np.flatnonzero(place >= 1)
             key = mix(h[i - 1])
             two = _among(uni.heavy, h[i - 1])[0]
@@ -364,14 +376,15 @@ def score(docs: DataFrame, alpha: float = ALPHA, size: int = UNIGRAMS, heavy: in
             # a heavy word that begins its text has no context of two to share
             lone = np.flatnonzero(two & (place[i] < 2))
             key[lone] = _joined(h[i[lone] - 1], h[i[lone]])
-            return _shards_of(shards, start, key, doc[i], [i, place[i]])
+            return _shards_of(shards, start, len(sums), len(first), key, i)
 
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
             for first, texts in runs(raw_texts(batch.column("text"))):
                 words = Words(texts)
                 text = np.repeat(np.arange(len(texts)), np.diff(words.first))
-                parts.append((words.hashes(), ids[first + text], np.arange(len(words)) - words.first[text]))
+                has = np.flatnonzero(np.diff(words.first))
+                parts.append((words.hashes(), np.arange(len(words)) - words.first[text], n + words.first[has], ids[first + has]))
                 n += len(words)
                 if n >= _FLUSH:
                     yield flush()
@@ -383,7 +396,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, size: int = UNIGRAMS, heavy: in
         uni = base.value
         all_sums = np.memmap(path, dtype=np.uint64, mode="r")
         sums: list[tuple[np.ndarray, ...]] = []
-        for doc, start, at, place in _read_shard(batches):
+        for doc, start, at, place in _read_shard(batches, all_sums):
             inverse = inverse_powers(int(at.max()) + 2)
             g = start + at
             here = all_sums[g]
@@ -407,7 +420,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, size: int = UNIGRAMS, heavy: in
             late = np.flatnonzero(~ready)
             if len(late):
                 alone[length == 0] = 0
-                yield _open_places(word[late], _joined(last[late], word[late]), two[late], doc[late], alone[late], both[late])
+                yield _open_places(word[late], np.where(two[late], _joined(last[late], word[late]), np.uint64(0)), doc[late], alone[late], both[late])
         if sums:
             yield _parts(_sum_rows(shards, *(np.concatenate(x) for x in zip(*sums))))
 
@@ -433,11 +446,11 @@ def score(docs: DataFrame, alpha: float = ALPHA, size: int = UNIGRAMS, heavy: in
 
     summed = once.where("bucket is not null").groupBy("bucket").applyInArrow(total, _SUMS)
     begin = texts_of.mapInArrow(starts, "own long, w long")
-    late = once.where("bucket is null").select("w", "pair", "own", "alone", "together")
+    late = once.where("bucket is null").mapInArrow(_read_open, _LATE)
     pairs = begun.select(F.col("w").alias("pair_"), F.col("n").alias("pair_n"))
     # the places that need no pair count aren't shuffled by it
-    paired = late.where("pair is not null").join(pairs, F.col("pair") == F.col("pair_")).select("w", "own", "alone", F.col("pair_n").alias("together"))
-    late = late.where("pair is null").select("w", "own", "alone", "together").union(paired).withColumn("first", F.lit(0))
+    paired = late.where("pair <> 0").join(pairs, F.col("pair") == F.col("pair_")).select("w", "own", "alone", F.col("pair_n").alias("together"))
+    late = late.where("pair = 0").select("w", "own", "alone", "together").union(paired).withColumn("first", F.lit(0))
     late = late.union(begin.where("w is not null").select("w", "own", F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit(1)))
     p = F.col("u") / F.lit(float(table_.total))
     logp = F.when(F.col("alone") > 1, F.log((F.col("together") - 1 + alpha * p) / (F.col("alone") - 1 + alpha))).otherwise(F.log(p))
