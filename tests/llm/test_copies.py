@@ -253,3 +253,12 @@ def test_nearest_of_few(spark):
     for n, have in ((0, 0), (1, 0), (2, 2), (5, 20)):
         own = normalised(vectors(spark, np.random.default_rng(1).standard_normal((n, 16)), ODD[:4]))
         assert knn_graph.search(own, own, knn_graph.build(own), own=True).count() == have
+
+
+def test_nearest_raises_beam_and_degree_to_the_recall(spark):
+    x = np.random.default_rng(9).standard_normal((2500, 48))
+    own = normalised(vectors(spark, x))
+    poor = knn_graph.build(own, degree=3)
+    assert recall(knn_graph.search(own, own, poor, beam=10, own=True).collect(), x, 10) < 0.9
+    graph, beam = knn_graph.tuned(own, degree=3, beam=10, held=300)
+    assert recall(knn_graph.search(own, own, graph, beam=beam, own=True).collect(), x, 10) >= 0.9

@@ -4,8 +4,8 @@ Start: in each of ``TREES`` random-projection partitions the vectors of a cell a
 compared with each other.  NN-descent: each vector joins with its graph
 neighbours in both directions, and these, neighbours of neighbours, are compared
 with one another (a Spark join for the vectors, a shuffle for the meeting);
-whoever beats a vector's worst neighbour replaces it.  Rounds end when fewer than
-``LEAST`` of all edges change, ``ROUNDS`` at the latest.
+whoever beats a vector's worst neighbour replaces it.  Rounds end when at most
+``LEAST`` of all edges change.
 
 Search: a query's beam starts at entry vectors (a graph vector at itself and
 its neighbours, another at a bounded sample) and expands its best vectors: their
@@ -13,6 +13,10 @@ neighbours are fetched by a join and compared with the query until a beam of
 ``beam`` vectors has none left to expand.  Cosines are computed in half
 precision on the way, and those that are returned once more exactly.
 
+``op8`` measures recall: ``HELD`` vectors are searched and compared with all
+others.  Until it is at least ``RECALL``, first the beam and then the degree
+are doubled, at last up to the number of vectors.
+
 All tables travel by joins and shuffles; only the partitions' directions and the
 entry sample, both of fixed size, are sent to every executor.  Vectors must have
 one size.  For rows that are passed over see ``vectors.normalised``.  Equal
@@ -34,7 +38,8 @@ from .vectors import matrix, normalised
 
 NEIGHBOURS, DEGREE = 10, 48
 TREES, CELL = 16, 1500
-ROUNDS, LEAST = 4, 0.01
+LEAST = 0.01
+HELD, RECALL = 400, 0.92
 ENTRIES = 256
 _SAMPLE = 4096
 
@@ -113,7 +118,7 @@ def _halves(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "id long, v binary")
 
 
-def build(vectors: DataFrame, degree: int = DEGREE, trees: int = TREES, cell: int = CELL, rounds: int = ROUNDS, least: float = LEAST) -> DataFrame:
+def build(vectors: DataFrame, degree: int = DEGREE, trees: int = TREES, cell: int = CELL, rounds: int | None = None, least: float = LEAST) -> DataFrame:
     """(id, other, cosine): the neighbour graph of (id, v)."""
     spark = vectors.sparkSession
     n, shards = vectors.count(), _shards(spark)
@@ -149,7 +154,9 @@ def build(vectors: DataFrame, degree: int = DEGREE, trees: int = TREES, cell: in
         keep = _best(a, b, c, degree)
         return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(c[keep])], names=["id", "other", "cosine"])
 
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         worst = graph.groupBy(F.col("id").alias("w")).agg(F.when(F.count("*") >= degree, F.min("cosine")).otherwise(F.lit(-1.5)).cast("float").alias("worst"))
         both = graph.select("id", F.col("other").alias("pivot")).union(graph.select(F.col("other").alias("id"), F.col("id").alias("pivot"))).distinct()
         members = both.join(half.join(worst, F.col("id") == F.col("w")).select(F.col("id").alias("m"), "v", "worst"), F.col("id") == F.col("m")).select("pivot", "id", "v", "worst")
@@ -173,7 +180,7 @@ def search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, k: int = NE
     beam, shards = max(k, beam or k), _shards(spark)
     half, asked = cut(_halves(vectors)), cut(_halves(queries))
     if own:
-        state = graph
+        state = graph if queries is vectors else graph.join(queries.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left_semi")
     else:
         entry = [(r[0], r[1]) for r in half.orderBy(F.xxhash64("id")).limit(ENTRIES).collect()]
         entry_id, entry_x = np.array([i for i, _ in entry], dtype=np.int64), matrix(pa.array([bytes(v) for _, v in entry], pa.binary()), np.float16).astype(np.float32)
@@ -244,6 +251,49 @@ def _exact(state: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) ->
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "neighbour", "cosine")
 
 
+def _exact_least(sample: DataFrame, vectors: DataFrame, k: int) -> dict[int, float]:
+    """The cosine of each sampled vector's k-th nearest other, by comparing it with all."""
+    rows = sample.collect()
+    ids, x = np.array([r[0] for r in rows], dtype=np.int64), matrix(pa.array([bytes(r[1]) for r in rows], pa.binary())).astype(np.float32)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                other = np.asarray(batch.column("id"))
+                c = x @ matrix(batch.column("v")).astype(np.float32).T
+                c[ids[:, None] == other[None, :]] = -2
+                best = np.argpartition(-c, min(k, len(other)) - 1, axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(other[best].ravel()), pa.array(np.take_along_axis(c, best, 1).ravel())], names=["id", "other", "cosine"])
+
+    exact = _merge(vectors.select("id", "v").mapInArrow(compare, _EDGE), k).where("cosine > -1.5")
+    return {r[0]: r[1] for r in exact.groupBy("id").agg(F.min("cosine")).collect()}
+
+
+def measured(vectors: DataFrame, graph: DataFrame, sample: DataFrame, least: dict[int, float], k: int, beam: int) -> float:
+    """The share of the sampled vectors' k nearest that a search finds; equal cosines are as good."""
+    found = search(sample, vectors, graph, k, beam, own=True).collect()
+    want = sum(1 for _ in least) * k
+    return sum(r.cosine >= least[r["query"]] - 1e-5 for r in found) / max(1, want)
+
+
+def tuned(vectors: DataFrame, k: int = NEIGHBOURS, degree: int = DEGREE, beam: int = 2 * NEIGHBOURS, target: float = RECALL, held: int = HELD) -> tuple[DataFrame, int]:
+    """(graph, beam) with which a search for the graph's own vectors reaches the recall ``target``."""
+    n = vectors.count()
+    graph = build(vectors, degree)
+    if n <= k + 1:
+        return graph, beam
+    sample = cut(vectors.orderBy(F.xxhash64("id")).limit(held))
+    least = _exact_least(sample, vectors, k)
+    while measured(vectors, graph, sample, least, k, beam) < target and (beam < n or degree < n):
+        if beam < 4 * degree:
+            beam *= 2
+        else:
+            degree *= 2
+            graph = build(vectors, degree)
+    return graph, beam
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = cut(normalised(table(spark, sf_dir, "embeddings")))
-    return search(vectors, vectors, build(vectors), own=True)
+    graph, beam = tuned(vectors)
+    return search(vectors, vectors, graph, beam=beam, own=True)
