@@ -10,8 +10,11 @@ trained on the posteriors of at most ``TRAIN`` documents (those with the lowest
 hash of doc_id) and scores every document.
 
 Null and empty texts, and texts without any token, have no features and get the
-score 0: they are rejected.  Repeated rows score alike; rows with a null doc_id
-are scored but not trained on.  On an empty table the result is empty.
+score 0: they are rejected.  Every heuristic may vote on a text of any length;
+very long texts are read whole.  Repeated rows score alike; rows with a null
+doc_id are scored but not trained on, and of rows that repeat a doc_id the
+greatest text is.  Ties of the hash go by doc_id.  On an empty table the result
+is empty.
 """
 
 from __future__ import annotations
@@ -25,11 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import id_and_text, prepare, raw_texts, runs, table
-from .toxicity import sample_texts
+from .toxicity import sample
 from .words import Words, hash_ranges, mix
 
 TRAIN = 8192
 BITS = 16
+STRETCH = 200
 THRESHOLD = 0.5
 HEURISTICS = ("capitals", "symbols", "repeats", "bars", "lines", "sentences", "top_word", "variety", "tails")
 
@@ -59,6 +63,7 @@ class Tokens:
         self.start, self.end = edge[0::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.base)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        self._hashes: np.ndarray | None = None
 
     def packed(self, keep: np.ndarray, data: np.ndarray) -> np.ndarray:
         """Hashes of the tokens' kept bytes; each token keeps its first."""
@@ -66,7 +71,9 @@ class Tokens:
         return hash_ranges(data[keep], np.concatenate(([0], end[:-1])), end)
 
     def hashes(self) -> np.ndarray:
-        return self.packed(self.inside, self.data) if len(self.start) else np.zeros(0, dtype=np.uint64)
+        if self._hashes is None:
+            self._hashes = self.packed(self.inside, self.data) if len(self.start) else np.zeros(0, dtype=np.uint64)
+        return self._hashes
 
     def shapes(self) -> np.ndarray:
         """Hashes of the tokens' shapes: runs of one kind of character count once."""
@@ -134,8 +141,13 @@ def votes(texts: list[bytes], tokens: Tokens | None = None) -> np.ndarray:
     np.maximum.at(most, tt[start], size)
     top = most / np.maximum(1, n)
     out.append(_vote(top, (n >= 30) & (top < 0.12), (n >= 15) & (top > 0.25)))
-    kinds = np.bincount(tt[start], minlength=m) / np.maximum(1, n)
-    out.append(_vote(kinds, (n >= 8) & (n < 2000) & (kinds > 0.4), (n >= 15) & (n < 2000) & (kinds < 0.2)))
+    # distinct tokens of each stretch, so that a long text has no fewer than a short one
+    stretch = np.cumsum((np.arange(len(h)) - t.first[t.text]) % STRETCH == 0)
+    order = np.lexsort((h, stretch))
+    once = np.ones(len(h), dtype=bool)
+    once[1:] = (h[order][1:] != h[order][:-1]) | (stretch[order][1:] != stretch[order][:-1])
+    kinds = np.bincount(t.text[order][once], minlength=m) / np.maximum(1, n)
+    out.append(_vote(kinds, some & (kinds > 0.5), (n >= 15) & (kinds < 0.2)))
     last = t.end - 1
     odd = (t.end - t.start >= 3) & ~_LETTER[t.data[last]] & (t.data[last] == t.data[last - 1]) & (_SYMBOL | (np.arange(256) == ord("!")))[t.data[last]]
     tails = np.bincount(t.text, weights=odd, minlength=m) / np.maximum(1, n)
@@ -190,8 +202,8 @@ class Model:
     bias: float
     bits: int
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        text, key, value = features(texts, self.bits)
+    def score(self, texts: list[bytes], tokens: Tokens | None = None) -> np.ndarray:
+        text, key, value = features(texts, self.bits, tokens)
         z = np.bincount(text, weights=self.weight[key] * value, minlength=len(texts)) + self.bias
         has = np.bincount(text, minlength=len(texts)) > 0
         return np.where(has, 1 / (1 + np.exp(-np.clip(z, -500, 500))), 0.0)
@@ -235,16 +247,23 @@ def fit(docs: DataFrame, train_rows: int = TRAIN, bits: int = BITS) -> Model:
     share, rates, q = em(code[:, None] // base % 3, np.array([r[1] for r in rows]))
     posterior = dict(zip(code.tolist(), q.tolist()))
     ids = [r[0] for r in docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect()]
-    found = [t for _, t in sample_texts(docs, sorted(set(ids)))]
-    parts, goal = [], []
-    for first, texts in runs(found):
-        tokens = Tokens(texts)
-        text, key, value = features(texts, bits, tokens)
-        parts.append(((text + first).astype(np.int32), key.astype(np.int32), value.astype(np.float32)))
-        goal += [posterior.get(c, share) for c in (votes(texts, tokens) @ base).tolist()]
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in runs(raw_texts(batch.column("text"))):
+                tokens = Tokens(texts)
+                text, key, value = features(texts, bits, tokens)
+                edge = np.searchsorted(text, np.arange(len(texts) + 1))
+                lists = [[x[a:b].tobytes() for a, b in zip(edge, edge[1:])] for x in (key.astype(np.int32), value.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(votes(texts, tokens) @ base), *(pa.array(x, pa.binary()) for x in lists)], names=["doc_id", "pattern", "keys", "values"])
+
+    found = sample(docs, sorted(set(ids))).mapInArrow(taken, "doc_id long, pattern long, keys binary, values binary").toArrow().sort_by("doc_id")
+    goal = [posterior.get(c, share) for c in found.column("pattern").to_pylist()]
+    keys = [np.frombuffer(x, dtype=np.int32) for x in found.column("keys").to_pylist()]
+    parts = [(np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys]), np.concatenate(keys), np.frombuffer(b"".join(found.column("values").to_pylist()), dtype=np.float32))] if keys else []
     if not parts:
         return Model(share, rates, posterior, np.zeros(1 << bits), 0.0, bits)
-    weight, bias = train(*(np.concatenate(x) for x in zip(*parts)), np.array(goal), bits)
+    weight, bias = train(*parts[0], np.array(goal), bits)
     return Model(share, rates, posterior, weight, bias, bits)
 
 
@@ -257,8 +276,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         own = shared.value
         for batch in batches:
             for first, texts in runs(raw_texts(batch.column("text"))):
-                s = own.score(texts)
-                weak = [own.posterior.get(c, own.share) if v else 0.0 for c, v in zip((votes(texts) @ base).tolist(), s > 0)]
+                tokens = Tokens(texts)
+                s = own.score(texts, tokens)
+                weak = [own.posterior.get(c, own.share) if v else 0.0 for c, v in zip((votes(texts, tokens) @ base).tolist(), s > 0)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(weak, pa.float64()), pa.array(s), pa.array(s >= threshold)], names=["doc_id", "weak_posterior", "score", "keep"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, weak_posterior double, score double, keep boolean")

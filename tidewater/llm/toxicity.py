@@ -2,46 +2,57 @@
 
 Terms are words and, for words of seven bytes or more, their first six bytes.
 Of the labelled examples at most ``EXAMPLES`` of each class are kept (those with
-the lowest hash of doc_id).  The vocabulary is the terms that the toxic examples
-have markedly more often (chi-square of at least ``CHI2``); document frequencies
-are counted over all documents.  A vector's weights are
-``(1 + ln tf) * ln((1 + N) / (1 + df))``, normalised.
-
-The index is inverted and cut into blocks of ``BLOCK`` examples.  For each term
-and block it holds the highest weight, so a query has an upper bound for every
-block.  Blocks are scored exactly by descending bound until no bound exceeds the
-worst of the best ``NEIGHBOURS``; the neighbours are thus exact.
+the lowest hash of doc_id).  The vocabulary is every term that an example has;
+none is dropped.  Document frequencies are counted over all documents.  A
+vector's weights are ``(1 + ln tf) * ln((1 + N) / (1 + df)) * max(1, |z|)``,
+normalised, where z is the z-score of the difference between the shares of toxic
+and of other examples that have the term.
+
+The index is inverted and cut into blocks of ``BLOCK`` examples that are alike.
+Terms of more than ``1 / COMMON`` of the examples (``DENSE`` at most) are kept as
+rows of a dense matrix, the others as postings.  For each term with postings and
+each block it holds the highest weight, so a query has an upper bound for every
+block: the best sum of its common terms there, plus the highest weights of its
+others.  After the best ``LEAD`` blocks, only blocks whose bound reaches the worst
+of the best ``NEIGHBOURS`` are scored; the neighbours are thus exact.
 
 A neighbour votes with ``1 / (1.05 - cosine)``, times its class's share of all
 labels over its share of the examples.  The share of toxic votes is calibrated
-by isotonic regression of the examples' own leave-one-out shares.
-
-Documents without a vocabulary term, null and empty texts among them, have no
-neighbours; their score is the smoothed toxic rate of such examples.  A labelled
-document is not its own neighbour.  Equal cosines are taken by the example's
-doc_id.  A doc_id that is labelled twice is toxic if any of its labels says so;
-null labels and ids are passed over.  Without labels of both classes every score
-is the toxic rate (0 without labels) and nothing is rejected.
+by isotonic regression of the examples' own leave-one-out shares, which the
+executors compute.
+
+Documents without a term of any example, null and empty texts among them, have
+no neighbours; their score is the smoothed toxic rate of such examples.  A
+labelled document is not its own neighbour.  Equal cosines are taken by the
+example's doc_id.  A doc_id that is labelled twice is toxic if any of its labels
+says so; null labels and ids are passed over.  Rows that repeat a doc_id are
+scored each by their own text; as an example the greatest text counts.  Very
+long texts are read whole.  Without labels of both classes every score is the
+toxic rate (0 without labels) and nothing is rejected; an empty table of
+documents gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import id_and_text, list_array, prepare, raw_texts, runs, table
-from .words import Words, mix
+from .base import cut, id_and_text, list_array, prepare, raw_texts, runs, table
+from .words import Words, mix, spread
 
 EXAMPLES = 4096
-CHI2 = 25.0
 NEIGHBOURS = 15
 BLOCK = 64
+COMMON, DENSE = 32, 512
+LEAD = 2
 THRESHOLD = 0.5
+_TEXTS = 128  # scored at once
+_POSTINGS = 2_000_000  # expanded at once
 
 
 def terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -58,78 +69,145 @@ def terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
 def counted(words: Words, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, count), sorted, of the terms (those in the sorted ``among``, as indices into it)."""
     term, text = terms(words)
-    if among is not None:
-        if not len(among):
-            term, text = term[:0], text[:0]
-        at = np.minimum(np.searchsorted(among, term), max(0, len(among) - 1))
-        hit = among[at] == term if len(among) else np.zeros(0, dtype=bool)
-        term, text = at[hit].astype(np.uint64), text[hit]
-    if not len(term):
-        return np.zeros(0, dtype=np.int64), term, np.zeros(0, dtype=np.int64)
-    order = np.lexsort((term, text))
-    term, text = term[order], text[order]
-    start = np.flatnonzero(np.concatenate(([True], (np.diff(text) != 0) | (term[1:] != term[:-1]))))
-    return text[start], term[start], np.diff(np.append(start, len(term)))
+    every = among
+    if among is None:
+        every, at = np.unique(term, return_inverse=True)
+    elif len(among):
+        at = np.minimum(np.searchsorted(among, term), len(among) - 1)
+        hit = among[at] == term
+        at, text = at[hit], text[hit]
+    else:
+        at, text = np.zeros(0, dtype=np.int64), text[:0]
+    key = np.sort(text * max(1, len(every)) + at)
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    text, at = np.divmod(key[start], max(1, len(every)))
+    return text, at if among is not None else every[at], np.diff(np.append(start, len(key)))
+
+
+def alike(x: np.ndarray, size: int) -> np.ndarray:
+    """An order of the rows in which each run of ``size`` rows is alike: halves along the strongest direction, again and again."""
+    out, parts = [], [np.arange(len(x))]
+    while parts:
+        own = parts.pop()
+        if len(own) <= size:
+            out.append(own)
+            continue
+        y = x[own] - x[own].mean(axis=0)
+        direction = y[np.argmax((y * y).sum(axis=1))] if y.shape[1] else np.zeros(0)
+        for _ in range(4):
+            direction = y.T @ (y @ direction)
+            direction = direction / max(np.sqrt(direction @ direction), 1e-300)
+        own = own[np.argsort(y @ direction, kind="stable")]
+        half = -(-len(own) // (2 * size)) * size
+        parts += [own[half:], own[:half]]
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
-@dataclass
 class Index:
-    """The examples' vectors by term and block."""
-
-    doc_id: np.ndarray
-    toxic: np.ndarray
-    weight: np.ndarray  # of an example's vote
-    idf: np.ndarray
-    size: int = 0
-    start: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
-    example: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
-    value: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    top: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-
-    def fill(self, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> Index:
-        """Postings from (example, term, count) sorted by example; examples are numbered by doc_id."""
-        n = len(self.doc_id)
-        value = (1 + np.log(count)) * self.idf[term]
-        norm = np.sqrt(np.bincount(row, weights=value * value, minlength=n))
-        value = value / np.maximum(norm[row], 1e-300)
-        order = np.lexsort((row, term))
-        self.example, self.value = row[order], value[order]
-        blocks = -(-n // BLOCK)
-        self.top = np.zeros((len(self.idf), blocks))
-        np.maximum.at(self.top, (term, row // BLOCK), value)
-        self.start = np.searchsorted(term[order] * blocks + row[order] // BLOCK, np.arange(len(self.idf) * blocks + 1))
-        self.size = blocks
-        return self
-
-    def nearest(self, term: np.ndarray, count: np.ndarray, own: int | None, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above 0; ``own``: a doc_id to leave out."""
-        q = (1 + np.log(count)) * self.idf[term]
-        norm = np.sqrt((q * q).sum())
-        if not norm:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        q = q / norm
-        bound = q @ self.top[term]
-        best, score = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(score) == k and score[-1] > bound[b] + 1e-9:
-                break
-            base = b * BLOCK
-            sums = np.zeros(BLOCK)
-            for t, w in zip(term, q):
-                s, e = self.start[t * self.size + b], self.start[t * self.size + b + 1]
-                if s < e:
-                    sums[self.example[s:e] - base] += w * self.value[s:e]
-            hit = np.flatnonzero(sums > 0)
-            if own is not None:
-                hit = hit[self.doc_id[base + hit] != own]
-            best, score = np.concatenate((best, base + hit)), np.concatenate((score, sums[hit]))
-            order = np.lexsort((best, -np.round(score, 12)))[:k]
-            best, score = best[order], score[order]
-        return best, np.minimum(score, 1.0)
-
-    def share(self, near: np.ndarray, cosine: np.ndarray) -> float:
-        vote = self.weight[near] / (1.05 - cosine)
-        return float((vote * self.toxic[near]).sum() / vote.sum())
+    """The examples' vectors by term and block, from (example, term, count) sorted by example and the terms' weights."""
+
+    def __init__(self, doc_id: np.ndarray, toxic: np.ndarray, share: np.ndarray, term_weight: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> None:
+        n, v = len(doc_id), len(term_weight)
+        self.term_weight = term_weight
+        value = (1 + np.log(count)) * term_weight[term]
+        value = value / np.maximum(np.sqrt(np.bincount(row, weights=value * value, minlength=n)), 1e-300)[row]
+        have = np.bincount(term, minlength=v)
+        common = np.argsort(-have, kind="stable")[:DENSE]
+        common = common[have[common] * COMMON > n]
+        self.column = np.full(v, -1, dtype=np.int32)
+        self.column[common] = np.arange(len(common))
+        dense = self.column[term] >= 0
+        x = np.zeros((n, len(common)))
+        x[row[dense], self.column[term[dense]]] = value[dense]
+        order = alike(x, BLOCK)
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        self.doc_id, self.toxic, self.share = doc_id[order], toxic[order], share[order]
+        self.by_id = np.argsort(self.doc_id, kind="stable")
+        self.blocks = -(-n // BLOCK)
+        self.dense = np.zeros((len(common), self.blocks * BLOCK))
+        self.dense[:, :n] = x[order].T
+        row, term, value = place[row[~dense]], term[~dense], value[~dense]
+        by = np.lexsort((row, term))
+        row, term, value = row[by], term[by], value[by]
+        self.example, self.value = row.astype(np.int32), value
+        # one range of postings for each term and block
+        start = np.flatnonzero(np.diff(term * self.blocks + row // BLOCK, prepend=-1))
+        self.range_from = np.append(start, len(row)).astype(np.int64)
+        self.range_block = (row[start] // BLOCK).astype(np.int32)
+        self.range_top = np.maximum.reduceat(value, start) if len(start) else value
+        self.term_from = np.searchsorted(term[start], np.arange(v + 1))
+
+    def vectors(self, text: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+        """The weights of (text, term, count), each text's of norm 1."""
+        q = (1 + np.log(count)) * self.term_weight[term]
+        return q / np.maximum(np.sqrt(np.bincount(text, weights=q * q, minlength=n)), 1e-300)[text]
+
+    def nearest(self, text: np.ndarray, term: np.ndarray, count: np.ndarray, own: list[int | None], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, example, cosine) of each text's k nearest with a cosine above 0, best first; ``own``: each text's doc_id, which is left out."""
+        q = self.vectors(text, term, count, len(own))
+        found = []
+        for a in range(0, len(own), _TEXTS):
+            s, e = np.searchsorted(text, (a, a + _TEXTS))
+            t, x, c = self._nearest(text[s:e] - a, term[s:e], q[s:e], own[a : a + _TEXTS], k)
+            found.append((t + a, x, c))
+        none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        return tuple(np.concatenate(z) for z in zip(none, *found))
+
+    def _nearest(self, text: np.ndarray, term: np.ndarray, q: np.ndarray, own: list[int | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        b, blocks = len(own), self.blocks
+        column = self.column[term]
+        common = column >= 0
+        dense = np.zeros((b, len(self.dense)))
+        dense[text[common], column[common]] = q[common]
+        cosine = dense @ self.dense
+        ids = np.array([-1 if i is None else i for i in own], dtype=np.int64)
+        at = self.by_id[np.minimum(np.searchsorted(self.doc_id, ids, sorter=self.by_id), len(self.doc_id) - 1)]
+        labelled = np.flatnonzero((self.doc_id[at] == ids) & np.array([i is not None for i in own]))
+        cosine[labelled, at[labelled]] = -1e9
+        bound = cosine.reshape(b, blocks, BLOCK).max(axis=2)
+        text, term, q = text[~common], term[~common], q[~common]
+        row, j = spread(self.term_from[term + 1] - self.term_from[term])
+        ranges, weight = self.term_from[term][row] + j, q[row]
+        pair = text[row] * blocks + self.range_block[ranges]
+        bound = bound + np.bincount(pair, weights=weight * self.range_top[ranges], minlength=b * blocks).reshape(b, blocks)
+
+        def add(flag: np.ndarray) -> None:
+            """The postings of the flagged pairs of text and block."""
+            use = np.flatnonzero(flag.ravel()[pair])
+            size = self.range_from[ranges[use] + 1] - self.range_from[ranges[use]]
+            edge = np.searchsorted(np.cumsum(size), np.arange(_POSTINGS, int(size.sum()) + _POSTINGS, _POSTINGS), side="right")
+            for s, e in zip(np.append(0, edge), edge):
+                i, j = spread(size[s:e])
+                r = use[s:e][i]
+                p = self.range_from[ranges[r]] + j
+                at = pair[r] // blocks * cosine.shape[1] + self.example[p]
+                cosine.ravel()[:] += np.bincount(at, weights=weight[r] * self.value[p], minlength=cosine.size)
+
+        lead = np.zeros((b, blocks), dtype=bool)
+        first = min(LEAD, blocks)
+        best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        np.put_along_axis(lead, best, True, axis=1)
+        add(lead)
+        known = np.take_along_axis(cosine.reshape(b, blocks, BLOCK), best[:, :, None], axis=1).reshape(b, -1)
+        worst = np.maximum(-np.partition(-known, k - 1, axis=1)[:, k - 1], 0) if known.shape[1] >= k else np.zeros(b)
+        more = ~lead & (bound > np.maximum(worst, 1e-300)[:, None] - 1e-9)
+        add(more)
+        scored = np.where((lead | more)[:, :, None], cosine.reshape(b, blocks, BLOCK), 0).reshape(b, -1)
+        text, example = np.nonzero((scored > 1e-12) & (scored >= worst[:, None] - 1e-9))
+        value = scored[text, example]
+        order = np.lexsort((self.doc_id[example], -np.round(value, 12), text))
+        text, example, value = text[order], example[order], value[order]
+        start = np.searchsorted(text, np.arange(b))
+        keep = np.arange(len(text)) - start[text] < k
+        return text[keep], example[keep], np.minimum(value[keep], 1.0)
+
+    def shares(self, text: np.ndarray, example: np.ndarray, cosine: np.ndarray, n: int) -> np.ndarray:
+        """Each text's share of toxic votes; nan for one without neighbours."""
+        vote = self.share[example] / (1.05 - cosine)
+        total = np.bincount(text, weights=vote, minlength=n)
+        with np.errstate(invalid="ignore"):
+            return np.round(np.bincount(text, weights=vote * self.toxic[example], minlength=n) / total, 9)
 
 
 @dataclass
@@ -138,31 +216,23 @@ class Model:
     index: Index | None
     steps: np.ndarray  # calibration: share from which on ...
     levels: np.ndarray  # ... the score is this
-    none: float  # without a vocabulary term
+    none: float  # without a term of the examples
 
-    def score(self, words: Words, doc_ids: list[int | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-        """(score, examples, cosines) of each text."""
-        n = len(words.first) - 1
-        empty = np.zeros(0, dtype=np.int64), np.zeros(0)
+    def neighbours(self, words: Words, doc_ids: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.index.nearest(*counted(words, self.vocabulary), doc_ids)
+
+    def score(self, words: Words, doc_ids: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(score of each text; text, example, cosine of the neighbours)."""
+        n = len(doc_ids)
         if self.index is None:
-            yield from ((self.none, *empty) for _ in range(n))
-            return
-        text, term, count = counted(words, self.vocabulary)
-        term = term.astype(np.int64)
-        edge = np.searchsorted(text, np.arange(n + 1))
-        for i in range(n):
-            s, e = edge[i], edge[i + 1]
-            if s == e:
-                yield self.none, *empty
-                continue
-            near, cosine = self.index.nearest(term[s:e], count[s:e], doc_ids[i])
-            if not len(near):
-                yield self.none, *empty
-                continue
-            yield self.calibrated(self.index.share(near, cosine)), near, cosine
+            empty = np.zeros(0, dtype=np.int64)
+            return np.full(n, self.none), empty, empty, np.zeros(0)
+        text, example, cosine = self.neighbours(words, doc_ids)
+        share = self.index.shares(text, example, cosine, n)
+        return np.where(np.isnan(share), self.none, self.calibrated(np.nan_to_num(share))), text, example, cosine
 
-    def calibrated(self, share: float) -> float:
-        return float(self.levels[max(0, np.searchsorted(self.steps, share, side="right") - 1)])
+    def calibrated(self, share: np.ndarray) -> np.ndarray:
+        return self.levels[np.maximum(0, np.searchsorted(self.steps, share, side="right") - 1)]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,87 +252,95 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def sample_texts(docs: DataFrame, ids: list[int]) -> list[tuple[int, bytes]]:
-    """(doc_id, UTF-8 text), by doc_id, one for each of a bounded list of ids; of repeated rows the greatest text."""
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(i,) for i in ids], "__id long")
+def sample(docs: DataFrame, ids: list[int]) -> DataFrame:
+    """(doc_id, text), one row for each of a bounded list of ids whose text isn't null; of repeated rows the greatest text."""
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "__id long")
     hit = id_and_text(docs).join(F.broadcast(wanted), F.col("doc_id") == F.col("__id"), "left_semi").where("text is not null")
-    rows = hit.toArrow()
-    found: dict[int, bytes] = {}
-    for i, text in zip(rows.column("doc_id").to_pylist(), raw_texts(rows.column("text")) if rows.num_rows else []):
-        found[i] = max(text or b"", found.get(i, b""))
-    return sorted(found.items())
+    return cut(hit.groupBy("doc_id").agg(F.max("text").alias("text")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, chi2: float = CHI2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     """``examples``: how many labelled documents of each class the index holds at most."""
     spark = prepare(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {bool(r[0]): r[1] for r in known.groupBy(F.col("toxic") != 0).count().collect()}
     rate = total.get(True, 0) / max(1, sum(total.values()))
+    nothing = Model(np.zeros(0, dtype=np.uint64), None, np.zeros(0), np.zeros(0), rate)
     if len(total) < 2:
-        return Model(np.zeros(0, dtype=np.uint64), None, np.zeros(0), np.zeros(0), rate)
+        return nothing
     label: dict[int, bool] = {}
     for toxic in (False, True):
         part = known.where((F.col("toxic") != 0) == F.lit(toxic)).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
         label |= {r[0]: toxic for r in part.collect()}
-    found = sample_texts(docs, list(label))
-    doc_id = np.array([i for i, _ in found], dtype=np.int64)
-    toxic = np.array([label[i] for i, _ in found], dtype=bool)
+    chosen = sample(docs, list(label))
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in runs(raw_texts(batch.column("text"))):
+                text, term, count = counted(Words(texts))
+                edge = np.searchsorted(text, np.arange(len(texts) + 1))
+                lists = [[x[a:b].tobytes() for a, b in zip(edge, edge[1:])] for x in (term, count.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), *(pa.array(x, pa.binary()) for x in lists)], names=["doc_id", "terms", "counts"])
+
+    found = chosen.mapInArrow(taken, "doc_id long, terms binary, counts binary").toArrow().sort_by("doc_id")
+    doc_id = np.asarray(found.column("doc_id"), dtype=np.int64)
+    toxic = np.array([label[i] for i in doc_id.tolist()], dtype=bool)
     if not toxic.any() or toxic.all():
-        return Model(np.zeros(0, dtype=np.uint64), None, np.zeros(0), np.zeros(0), rate)
-    parts = []
-    for first, texts in runs([t for _, t in found]):
-        row, term, count = counted(Words(texts))
-        parts.append((row + first, term, count))
-    row, term, count = (np.concatenate(x) for x in zip(*parts))
-    every, at = np.unique(term, return_inverse=True)
+        return nothing
+    each = [np.frombuffer(x, dtype=np.uint64) for x in found.column("terms").to_pylist()]
+    row = np.repeat(np.arange(len(each)), [len(x) for x in each])
+    vocabulary, term = np.unique(np.concatenate(each), return_inverse=True)
+    count = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in found.column("counts").to_pylist()])
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    a, b = np.bincount(at, weights=toxic[row], minlength=len(every)), np.bincount(at, weights=~toxic[row], minlength=len(every))
-    n = n1 + n0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        stat = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n - a - b) * n1 * n0)
-    pick = (a / n1 > 2 * b / n0) & ~(stat < chi2)
-    vocabulary = every[pick]
-    place = np.full(len(every), -1)
-    place[pick] = np.arange(len(vocabulary))
-    inside = place[at] >= 0
-    row, term, count = row[inside], place[at][inside], count[inside]
+    n, v = n1 + n0, len(vocabulary)
+    a, b = np.bincount(term, weights=toxic[row], minlength=v), np.bincount(term, weights=~toxic[row], minlength=v)
+    of_all = (a + b + 1) / (n + 2)
+    z = (a / n1 - b / n0) / np.sqrt(of_all * (1 - of_all) * (1 / n1 + 1 / n0))
+    share = np.where(toxic, rate / (n1 / n), (1 - rate) / (n0 / n))
+    words = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows = np.zeros(len(vocabulary), dtype=np.int64), 0
+        df, rows = np.zeros(v, dtype=np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for _, texts in runs(raw_texts(batch.column("text"))):
-                df += np.bincount(counted(Words(texts), vocabulary)[1].astype(np.int64), minlength=len(vocabulary))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(vocabulary)), -1)), pa.array(np.append(df, rows))], names=["term", "n"])
-
-    df, total_docs = np.zeros(len(vocabulary)), 0
-    for r in id_and_text(docs).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        if r[0] < 0:
-            total_docs = r[1]
-        else:
-            df[r[0]] = r[1]
-    share = np.where(toxic, rate / (n1 / n), (1 - rate) / (n0 / n))
-    index = Index(doc_id, toxic, share, np.log((1 + total_docs) / (1 + df)) if len(df) else df).fill(row, term, count)
-    edge = np.searchsorted(row, np.arange(n + 1))
-    x, y, w, bare = [], [], [], []
-    for i in range(n):
-        near, cosine = index.nearest(term[edge[i] : edge[i + 1]], count[edge[i] : edge[i + 1]], int(doc_id[i])) if edge[i] < edge[i + 1] else ((), ())
-        if len(near):
-            x.append(index.share(near, cosine)), y.append(float(toxic[i])), w.append(share[i])
-        else:
-            bare.append(i)
-    none = float(((share * toxic)[bare].sum() + rate) / (share[bare].sum() + 1))
-    steps, levels = isotonic(np.array(x), np.array(y), np.array(w)) if x else (np.zeros(1), np.full(1, rate))
+                df += np.bincount(counted(Words(texts), words.value)[1], minlength=v)
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(term, -1)), pa.array(np.append(df[term], rows))], names=["term", "n"])
+
+    df = np.zeros(v)
+    counts = id_and_text(docs).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, times = np.asarray(counts.column("term")), np.asarray(counts.column("n"))
+    df[at[at >= 0]], total_docs = times[at >= 0], int(times[at < 0].sum())
+    words.unpersist()
+    index = Index(doc_id, toxic, share, np.log((1 + total_docs) / (1 + df)) * np.maximum(1, np.abs(z)), row, term, count)
+    bare = Model(vocabulary, index, np.zeros(1), np.zeros(1), rate)
+    shared = spark.sparkContext.broadcast(bare)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            for first, texts in runs(raw_texts(batch.column("text"))):
+                part = ids[first : first + len(texts)]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(own.index.shares(*own.neighbours(Words(texts), part), len(part)))], names=["doc_id", "share"])
+
+    # the checkpoint may have few partitions
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own_share = {r[0]: r[1] for r in chosen.repartition(parts, "doc_id").mapInArrow(left_out, "doc_id long, share double").collect()}
+    shared.unpersist()
+    x = np.array([own_share[i] for i in doc_id.tolist()])
+    seen = ~np.isnan(x)
+    none = float(((share * toxic)[~seen].sum() + rate) / (share[~seen].sum() + 1))
+    steps, levels = isotonic(x[seen], toxic[seen].astype(float), share[seen]) if seen.any() else (np.zeros(1), np.full(1, rate))
     return Model(vocabulary, index, steps, levels, none)
 
 
-def _scored(model: Model, batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[tuple[float, np.ndarray, np.ndarray]]]]:
+def _scored(model: Model, batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
     ids = batch.column("doc_id").to_pylist()
     for first, texts in runs(raw_texts(batch.column("text"))):
-        yield first, len(texts), list(model.score(Words(texts), ids[first : first + len(texts)]))
+        yield first, len(texts), model.score(Words(texts), ids[first : first + len(texts)])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -275,17 +353,15 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for first, n, found in _scored(own, batch):
-                values = np.array([s for s, _, _ in found])
-                ends = np.concatenate(([0], np.cumsum([len(x) for _, x, _ in found])))
-                near = np.concatenate([x for _, x, _ in found]).astype(np.int64)
+            for first, n, (values, text, example, cosine) in _scored(own, batch):
+                ends = np.searchsorted(text, np.arange(n + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(first, n),
                         pa.array(values),
                         pa.array(values >= threshold if own.index is not None else np.zeros(n, dtype=bool)),
-                        list_array(pa.array(own.index.doc_id[near] if len(near) else near), ends),
-                        list_array(pa.array(np.concatenate([x for _, _, x in found]).astype(np.float64)), ends),
+                        list_array(pa.array(own.index.doc_id[example] if len(example) else example), ends),
+                        list_array(pa.array(cosine), ends),
                     ],
                     names=["doc_id", "score", "toxic", "neighbours", "cosines"],
                 )
@@ -303,8 +379,8 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
             if own.index is None:
                 yield batch
                 continue
-            keep = [s < threshold for _, _, found in _scored(own, batch) for s, _, _ in found]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            keep = [values < threshold for _, _, (values, *_) in _scored(own, batch)]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, dtype=bool), *keep])))
 
     return docs.mapInArrow(run, docs.schema)
 
