@@ -216,49 +216,84 @@ def test_vector_copies(spark):
     assert vector_copies.copies(df.where("false")).count() == 0
 
 
-def recall(rows, x, k, queries=None):
+def recall(rows, x, k, queries=None, asked=None):
+    """Of the neighbours found for other queries, or for the rows ``asked`` (all by default) among the others."""
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    q = u if queries is None else queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    asked = list(range(len(x))) if asked is None and queries is None else asked
+    q = u[asked] if queries is None else queries / np.linalg.norm(queries, axis=1, keepdims=True)
     c = q @ u.T
     if queries is None:
-        np.fill_diagonal(c, -2)
+        c[np.arange(len(asked)), asked] = -2
+    place = {d: i for i, d in enumerate(asked)} if asked is not None else {i: i for i in range(len(q))}
     kth = -np.sort(-c, axis=1)[:, k - 1]
     hits = 0
     for r in rows:
-        assert r.cosine == pytest.approx(c[r.query, r.neighbour], abs=1e-5)
-        hits += r.cosine >= kth[r.query] - 1e-6
+        assert r.cosine == pytest.approx(c[place[r.query], r.neighbour], abs=1e-5)
+        hits += r.cosine >= kth[place[r.query]] - 1e-6
     return hits / (len(q) * k)
 
 
 def test_nearest_query(spark, tmp_path):
+    """A third of the rows are copies of one vector; the queries are the ids divisible by 50, against all rows."""
     rng = np.random.default_rng(7)
     x = rng.standard_normal((3000, 24)).astype(np.float32)
-    x[2900:] = x[5]
-    vectors(spark, x, [(3000 + i, *r[1:]) for i, r in enumerate(ODD[:4])]).write.parquet(str(tmp_path / "embeddings.parquet"))
+    x[2000:] = x[50]
+    vectors(spark, x, [(3001 + i, *r[1:]) for i, r in enumerate(ODD[:4])]).write.parquet(str(tmp_path / "embeddings.parquet"))
     rows = knn_graph.op8(spark, str(tmp_path)).collect()
-    assert sorted((r.query, r.rank) for r in rows) == [(i, k) for i in range(3000) for k in range(1, 11)]
-    assert recall(rows, x.astype(float), 10) >= 0.9
+    asked = list(range(0, 3000, 50))
+    assert sorted((r.query, r.rank) for r in rows) == [(i, k) for i in asked for k in range(1, 11)]
+    assert recall(rows, x.astype(float), 10, asked=asked) >= 0.95
+    copies = [50, *range(2000, 3000)]
+    for q in (50, 2000, 2950):
+        assert [r.neighbour for r in sorted(rows, key=lambda r: r.rank) if r.query == q] == [i for i in copies if i != q][:10]
+
+
+def test_nearest_start_is_small_and_the_descent_does_the_work(spark):
+    x = np.random.default_rng(3).standard_normal((4000, 32))
+    own = normalised(vectors(spark, x))
+    begin = knn_graph._start(knn_graph._halves(own), 4000, knn_graph.DEGREE, knn_graph.TREES, knn_graph.CELL)
+    assert begin.count() <= 4000 * knn_graph.DEGREE
+    first = [r for r in begin.selectExpr("id as query", "other as neighbour", "cosine", "row_number() over (partition by id order by cosine desc) as rank").where("rank <= 10").collect()]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u @ u.T
+    np.fill_diagonal(c, -2)
+    kth = -np.sort(-c, axis=1)[:, 9]
+    good = lambda rows: sum(c[r[0], r[1]] >= kth[r[0]] - 1e-6 for r in rows) / 40_000
+    graph = knn_graph.build(own).selectExpr("id as query", "other as neighbour", "cosine", "row_number() over (partition by id order by cosine desc) as rank").where("rank <= 10").collect()
+    assert good(first) < 0.6 and good(graph) > 0.95
 
 
 def test_nearest_for_other_queries(spark):
     rng = np.random.default_rng(8)
     x, q = rng.standard_normal((1500, 12)), rng.standard_normal((60, 12))
     own = normalised(vectors(spark, x))
-    graph = knn_graph.build(own, cell=200)
+    graph = knn_graph.build(own)
     rows = knn_graph.search(normalised(vectors(spark, q)), own, graph, k=5, beam=24).collect()
     assert recall(rows, x, 5, q) >= 0.9
 
 
-def test_nearest_of_few(spark):
+def test_nearest_of_few_and_of_different_sizes(spark):
     for n, have in ((0, 0), (1, 0), (2, 2), (5, 20)):
         own = normalised(vectors(spark, np.random.default_rng(1).standard_normal((n, 16)), ODD[:4]))
         assert knn_graph.search(own, own, knn_graph.build(own), own=True).count() == have
+    rng = np.random.default_rng(2)
+    x, y = rng.standard_normal((40, 8)), rng.standard_normal((30, 5))
+    rows = [(i, [float(v) for v in r], 0, 0.5) for i, r in enumerate([*x, *y])]
+    rows = [*rows, rows[3], (3, rows[4][1], 0, 0.1), (70, [1.0], 0, 0.0)]
+    got = knn_graph.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, query double"), every=1).collect()
+    assert {(r.query < 40, r.neighbour < 40) for r in got} == {(True, True), (False, False)}
+    assert len(got) == 700
+    y = y / np.linalg.norm(y, axis=1, keepdims=True)
+    c = y @ y.T
+    np.fill_diagonal(c, -2)
+    for q in range(30):
+        assert [r.neighbour - 40 for r in sorted((r for r in got if r.query == 40 + q), key=lambda r: r.rank)] == np.argsort(-c[q])[:10].tolist()
 
 
 def test_nearest_raises_beam_and_degree_to_the_recall(spark):
-    x = np.random.default_rng(9).standard_normal((2500, 48))
+    x = np.random.default_rng(9).standard_normal((900, 48))
     own = normalised(vectors(spark, x))
     poor = knn_graph.build(own, degree=3)
     assert recall(knn_graph.search(own, own, poor, beam=10, own=True).collect(), x, 10) < 0.9
-    graph, beam = knn_graph.tuned(own, degree=3, beam=10, held=300)
+    graph, beam = knn_graph.tuned(own, degree=3, beam=10, held=200)
     assert recall(knn_graph.search(own, own, graph, beam=beam, own=True).collect(), x, 10) >= 0.9
