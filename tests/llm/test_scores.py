@@ -11,44 +11,90 @@ from tidewater.llm.words import Words
 
 from .conftest import words
 
-LENGTHS = [2, 3, 4] + [8 * 2**k for k in range(14)]
-
-
-def brute_scores(rows, alpha=ngram_lm.ALPHA):
-    texts = [(d, words(t)) for d, t in rows]
-    uni = Counter(w for _, t in texts for w in t)
-    total = sum(uni.values())
-    seen = Counter()
-    at = []
-    for d, t in texts:
-        ids = [hash(w) for w in t]
-        sums = [0, *np.cumsum([(h * pow(1_000_003, i, 2**61 - 1)) % (2**61 - 1) for i, h in enumerate(ids)], dtype=object)]
-        part = lambda s, e: (e - s, (sums[e] - sums[s]) * pow(1_000_003, -s, 2**61 - 1) % (2**61 - 1))  # noqa: E731,B023
-        for i, w in enumerate(t):
-            keys = [(n, part(i - n, i)) for n in LENGTHS if n <= i]
-            at.append((d, w, keys))
-            for _, k in keys:
-                seen[k] += 1
-                seen[k, w] += 1
+def sorted_scores(rows, alpha=ngram_lm.ALPHA):
+    """{doc_id: [words, log-probability, summed context lengths]} from one exact suffix array of all contexts, read backwards."""
+    known = {}
+    texts = [(d, [known.setdefault(w, len(known)) for w in words(t)]) for d, t in rows]
+    # each text backwards and closed by a number of its own: the context of a word is what follows it
+    flat, doc = [], []
+    for k, (d, t) in enumerate(texts):
+        flat += [*reversed(t), len(known) + k]
+        doc += [k] * (len(t) + 1)
+    flat, doc = np.array(flat, dtype=np.int64), np.array(doc)
+    n, total = len(flat), sum(len(t) for _, t in texts)
+    ranks = [np.unique(flat, return_inverse=True)[1]]
+    while ranks[-1].max() < n - 1:
+        step = 1 << (len(ranks) - 1)
+        then = np.zeros(n, dtype=np.int64)
+        then[: n - step] = ranks[-1][step:] + 1
+        ranks.append(np.unique(ranks[-1] * (n + 1) + then, return_inverse=True)[1])
+    word = np.flatnonzero(flat < len(known))
+    order = word[np.argsort(ranks[-1][word + 1])] + 1  # contexts that a word follows
+    m = len(order)
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(m)
+
+    def common(a, b):
+        length = np.zeros(len(a), dtype=np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            x, y = np.minimum(a + length, n - 1), np.minimum(b + length, n - 1)
+            same = (ranks[k][x] == ranks[k][y]) & (x + (1 << k) <= n) & (y + (1 << k) <= n)
+            length += np.where(same, 1 << k, 0)
+        return length
+
+    near = np.zeros(m + 1, dtype=np.int64)
+    near[1:m] = common(order[:-1], order[1:])
+    start = word + 1  # where the context begins
+    length = np.maximum(near[place[start]], near[place[start] + 1])
+
+    def edge(sign):
+        at = place[start].copy()
+        step = 1 << int(n).bit_length()
+        while step:
+            far = at + sign * step
+            ok = (far >= 0) & (far < m)
+            ok[ok] = common(order[far[ok]], start[ok]) >= length[ok]
+            at = np.where(ok, far, at)
+            step //= 2
+        return at
+
+    low, high = edge(-1), edge(1)
+    alone = high - low + 1
+    # occurrences of the word before the context's places, by their rank
+    key = np.sort(flat[order - 1] * n + np.arange(m))
+    both = np.searchsorted(key, flat[word] * n + high, side="right") - np.searchsorted(key, flat[word] * n + low)
+    p = np.bincount(flat[word])[flat[word]] / total
+    logp = np.where(length > 0, np.log((both - 1 + alpha * p) / (alone - 1 + alpha)), np.log(p))
     out = {d: [0, 0.0, 0] for d, _ in rows}
-    for d, w, keys in at:
-        p, best = uni[w] / total, None
-        for n, k in keys:
-            if seen[k] > 1:
-                best = n, k
-        if best:
-            x = math.log((seen[best[1], w] - 1 + alpha * p) / (seen[best[1]] - 1 + alpha))
-        else:
-            x = math.log(p)
-        out[d][0] += 1
-        out[d][1] += x
-        out[d][2] += best[0] if best else 0
+    sums = [np.bincount(doc[word], weights=x, minlength=len(texts)) for x in (np.ones(len(word)), logp, length)]
+    for k, (d, _) in enumerate(texts):
+        for j in range(3):
+            out[d][j] += sums[j][k]
     return out
 
 
+def test_the_two_references_agree():
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, n) % 60)) for i, n in enumerate((0, 1, 5, 60, 200, 300))]
+    rows += [(9, rows[4][1]), (10, None), (11, rows[5][1] + " tail")]
+    one, other = sorted_scores(rows), brute_longest(rows)
+    assert {d: pytest.approx(x) for d, x in one.items()} == other
+
+
+def test_ngram_query_on_all_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    want = sorted_scores([(r.doc_id, r.text) for r in rows])
+    got = {r.doc_id: r for r in ngram_lm.op3(spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == want.keys()
+    for d, (n, logp, context) in want.items():
+        assert got[d].n_words == n
+        if n:
+            assert got[d].mean_logp == pytest.approx(logp / n, abs=1e-5) and got[d].mean_context == pytest.approx(context / n)
+
+
 def test_ngram_query(spark, mini):
     got = {r.doc_id: r for r in ngram_lm.op3(spark, mini.dir).collect()}
-    want = brute_scores(mini.docs)
+    want = brute_longest(mini.docs)
     assert got.keys() == want.keys()
     for d, (n, logp, context) in want.items():
         r = got[d]
@@ -60,20 +106,6 @@ def test_ngram_query(spark, mini):
             assert r.mean_logp is None and r.perplexity is None and r.mean_context is None
 
 
-def test_ngram_rare_words_share_the_rest(spark):
-    docs = spark.createDataFrame([(1, "a b c a b d a b e"), (2, "f g")], "doc_id long, text string")
-    got = {r.doc_id: r for r in ngram_lm.score(docs, size=2).collect()}
-    # 11 words, 7 distinct; a and b make up 6
-    rest = 5 / 5 / 11
-    want = math.log(3 / 11) * 2 + math.log(rest) * 1
-    assert got[2].mean_logp == pytest.approx(math.log(rest), abs=1e-5)
-    # after "a b" none of c, d, e came elsewhere; contexts "b c", "b d", ... don't recur
-    inside = 3 * math.log(rest / 3)
-    other = 2 * math.log(3 / 11) + 2 * math.log(3 / 11) + 2 * math.log(3 / 11) - 2 * math.log(3 / 11)
-    assert got[1].n_words == 9 and want < 0
-    assert got[1].mean_logp * 9 == pytest.approx(inside + other + 2 * math.log(3 / 11), abs=1e-4)
-
-
 def test_ngram_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_lm.score(none).count() == 0
@@ -271,7 +303,7 @@ def test_quality_empty(spark, mini):
 
 
 def brute_longest(rows, alpha=ngram_lm.ALPHA):
-    """As brute_scores, with contexts of every length."""
+    """{doc_id: [words, log-probability, summed context lengths]}, growing contexts word by word."""
     texts = [(d, [hash(w) for w in words(t)]) for d, t in rows]
     uni = Counter(w for _, t in texts for w in t)
     total = sum(uni.values())
