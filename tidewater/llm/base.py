@@ -17,13 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
+#: Without these a worker keeps what its largest task took: numpy's arrays in the heap of malloc, Arrow's in a pool.
+_FREED = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "33554432"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Let this session's Python workers import the package, wherever the driver was started.
 
     Batches for Python get smaller, unless their size was set: texts are held
-    several times over while they are worked on.
+    several times over while they are worked on.  Workers give freed memory back
+    to the system, as they stay alive from task to task.
     """
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(size) == "67108864b":
@@ -32,6 +35,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     known = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if _ROOT not in known:
         env["PYTHONPATH"] = ":".join([_ROOT, *known])
+    for name, value in _FREED.items():
+        env.setdefault(name, value)
     return spark
 
 

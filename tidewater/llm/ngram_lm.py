@@ -91,7 +91,7 @@ def _counts(docs: DataFrame, keys: Callable[[Words], np.ndarray]) -> DataFrame:
                 each, k = np.unique(keys(Words(texts)), return_counts=True)
                 words.append(each), counts.append(k)
                 n += len(each)
-                if n > 2_000_000:
+                if n > 1_000_000:
                     yield total()
                     words, counts, n = [], [], 0
         if n:
