@@ -1,6 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is one shuffle of the edges; lineage is cut in the shared checkpoint
+A step takes each end's smallest neighbour by an aggregate, which is combined
+before it is shuffled, and joins it with the edges; adaptive execution splits the
+join where one end has very many.  Lineage is cut in the shared checkpoint
 folder after each round.  The number of rounds grows with the logarithm of the
 longest path.
 """
@@ -8,22 +10,26 @@ longest path.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .base import cut
 
 
+def _low(edges: DataFrame, column) -> DataFrame:
+    """The edges with m, the smallest of ``column`` among those with the same u."""
+    least = edges.groupBy(F.col("u").alias("x")).agg(F.min(column).alias("m"))
+    return edges.join(least, F.col("u") == F.col("x")).drop("x")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = F.least(F.min("v").over(W.partitionBy("u")), F.col("u"))
-    return both.withColumn("m", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _low(both, F.least("u", "v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    low = down.withColumn("m", F.min("v").over(W.partitionBy("u")))
-    return low.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+    pair = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    return _low(down, F.col("v")).select(F.explode(pair).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

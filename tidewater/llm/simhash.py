@@ -8,13 +8,17 @@ the number of binary digits of n.  Two documents are a close pair if their first
 The first 64 bits are split into ``BLOCKS`` blocks.  Bits that differ in at most
 NEAR places leave BLOCKS - NEAR blocks equal, so close pairs meet in at least one
 of the choices of that many blocks.  Fingerprints are joined on each choice's
-blocks, and every pair that meets is verified; nothing is sampled or capped.
-Equal fingerprints are one node of the search, so groups of thousands of copies
-cost no pairs.  Groups are the connected components; the smallest doc_id stays.
+blocks; nothing is sampled or capped.  Where more than ``LEAF`` meet, the bits in
+which they still differ are split once more into NEAR + 1 blocks, of which a close
+pair has one in common, and so on, as long as that leaves fewer pairs: what a
+fingerprint is compared with doesn't grow with the table.  Every pair that is left
+is verified.  Equal fingerprints are one node of the search, so groups of thousands
+of copies cost no pairs.  Groups are the connected components; the smallest doc_id stays.
 
 Null texts and texts without words have no fingerprint and belong to no group.
-Rows with a null doc_id can't be named and are passed over.  Rows that repeat a
-doc_id are one document; they alone make no group.
+Texts of any length are fingerprinted whole.  Rows with a null doc_id can't be named
+and are passed over.  Rows that repeat a doc_id are one document; they alone make
+no group.  An empty table has no groups.
 """
 
 from __future__ import annotations
@@ -26,7 +30,6 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .base import cut, id_and_text, prepare, raw_texts, runs, table
@@ -34,7 +37,9 @@ from .components import components
 from .words import Words, spread
 
 NEAR, NEAR_ALL, BLOCKS = 7, 40, 9
+LEAF = 128
 _ROWS = 250_000  # of a bucket of keys, on average
+_PAIRS = 4_000_000  # held at once
 _FP = ["f0", "f1", "f2", "f3"]
 
 
@@ -89,23 +94,68 @@ def choices(near: int = NEAR, blocks: int = BLOCKS) -> list[int]:
     return [sum(c) for c in combinations(block, blocks - near)]
 
 
-def close(fp: np.ndarray, key: np.ndarray, near: int, near_all: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every pair of rows (i, j) of equal keys that is close; the keys are sorted."""
-    start = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
-    last = np.repeat(np.append(start[1:], len(key)), np.diff(np.append(start, len(key))))
-    i, d, found = np.arange(len(key)), 1, []
+def split(bits: int, parts: int) -> np.ndarray:
+    """Masks of so many blocks of the bits that are set."""
+    at = [j for j in range(64) if bits >> j & 1]
+    return np.array([sum(1 << j for j in at[k::parts]) for k in range(parts)], dtype=np.uint64)
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+
+
+def close(fp: np.ndarray, key: np.ndarray, near: int, near_all: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows (i, j) whose components are those of all close pairs of equal keys, and how many pairs were compared; the keys are sorted."""
     f0 = np.ascontiguousarray(fp[:, 0])
-    while len(i := i[i + d < last[i]]):
-        for s in range(0, len(i), 4_000_000):
-            a = i[s : s + 4_000_000]
-            a = a[np.bitwise_count(f0[a] ^ f0[a + d]) <= near]
-            a = a[np.bitwise_count(fp[a] ^ fp[a + d]).sum(axis=1, dtype=np.int64) <= near_all]
-            if len(a):
-                found.append((a, a + d))
-        d += 1
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = compared = 0
+
+    def compare(rows: np.ndarray, key: np.ndarray) -> None:
+        nonlocal found, held, compared
+        if not len(rows):
+            return
+        start = _starts(key)
+        last = np.repeat(np.append(start[1:], len(key)), np.diff(np.append(start, len(key))))
+        i, d = np.arange(len(key)), 1
+        while len(i := i[i + d < last[i]]):
+            compared += len(i)
+            for s in range(0, len(i), 1_000_000):
+                a, b = rows[i[s : s + 1_000_000]], rows[i[s : s + 1_000_000] + d]
+                good = np.bitwise_count(f0[a] ^ f0[b]) <= near
+                a, b = a[good], b[good]
+                good = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64) <= near_all
+                if good.any():
+                    found.append((a[good], b[good]))
+                    held += int(good.sum())
+                    if held > _PAIRS:
+                        found = [forest(*(np.concatenate(x) for x in zip(*found)))]
+                        held = 0
+            d += 1
+
+    todo = [(np.arange(len(key)), key)]
+    while todo:
+        rows, key = todo.pop()
+        start = _starts(key)
+        size = np.diff(np.append(start, len(key)))
+        few = np.repeat((size > 1) & (size <= leaf), size)
+        compare(rows[few], key[few])
+        for s, n in zip(start[size > leaf].tolist(), size[size > leaf].tolist()):
+            own = rows[s : s + n]
+            f = f0[own]
+            bits = int(np.bitwise_or.reduce(f) ^ np.bitwise_and.reduce(f))
+            finer, pairs = [], 0
+            for mask in split(bits, near + 1) if bits.bit_count() > 2 * near else ():
+                order = np.argsort(f & mask, kind="stable")
+                sub = f[order] & mask
+                pairs += int((np.diff(np.append(_starts(sub), n)).astype(np.int64) ** 2).sum())
+                finer.append((own[order], sub))
+            if finer and pairs < n * n // 2:
+                todo += finer
+            else:
+                compare(own, np.zeros(n, dtype=np.uint64))
     if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), compared
+    return *(np.concatenate(x) for x in zip(*found)), compared
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +202,7 @@ def close_edges(nodes: DataFrame, near: int = NEAR, near_all: int = NEAR_ALL, bl
         order = np.argsort(key, kind="stable")
         node = np.asarray(whole.column("node"))[order]
         fp = np.stack([np.asarray(whole.column(c))[order].view(np.uint64) for c in _FP], axis=1)
-        i, j = close(fp, key[order], near, near_all)
+        i, j, _ = close(fp, key[order], near, near_all)
         a, b = forest(node[i], node[j])
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -164,19 +214,21 @@ def groups(docs: DataFrame, near: int = NEAR, near_all: int = NEAR_ALL, blocks:
     """(doc_id, group_id, n_docs) of the documents in groups of two or more; group_id is the doc_id that stays."""
     fps = cut(fingerprints(docs))
     nodes = fps.groupBy(*_FP).agg(F.min("doc_id").alias("node"))
-    named = fps.withColumn("node", F.min("doc_id").over(W.partitionBy(*_FP))).select("doc_id", "node").distinct()
+    by = nodes.select("node", *(F.col(c).alias(f"n{c}") for c in _FP))
+    named = cut(fps.join(by, [F.col(c) == F.col(f"n{c}") for c in _FP]).select("doc_id", "node").distinct())
     # two fingerprints of one doc_id (repeated rows of different texts) are one document
     same = named.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     root = components(close_edges(nodes, near, near_all, blocks).union(same))
     ids = named.select("doc_id").distinct().join(root, F.col("doc_id") == F.col("id"), "left")
     ids = ids.select("doc_id", F.coalesce("root", "doc_id").alias("group_id"))
-    return ids.withColumn("n_docs", F.count("*").over(W.partitionBy("group_id"))).where("n_docs > 1")
+    size = ids.groupBy(F.col("group_id").alias("g")).agg(F.count("*").alias("n_docs")).where("n_docs > 1")
+    return ids.join(size, F.col("group_id") == F.col("g")).drop("g")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The documents, with all their columns, without those that another of their group stands for."""
     gone = groups(docs, **how).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
