@@ -9,7 +9,8 @@ a bucket gives the edges of a spanning forest, so large groups cost few rows.
 
 At a cosine of 0.95 a table brings a pair together with a chance of 0.16, all 24
 with 0.98; at 0.98 it is over 0.999.  Vectors of different sizes are never
-compared.  For rows that are passed over see ``vectors.normalised``.
+compared.  For rows that are passed over see ``vectors.normalised``; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .base import cut, table
@@ -56,10 +56,10 @@ def _pairs(x: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarra
 
 
 def copies(df: DataFrame, cosine: float = COSINE, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, seed: int = 10) -> DataFrame:
-    """(vec_id, group_id, n_vectors) of the vectors in groups of two or more."""
+    """(vec_id, group_id, n_vectors), one row for each vector; one without copies is a group of its own."""
     every = cut(normalised(df))
-    named = every.select("id", F.min("id").over(W.partitionBy("v")).alias("node"), "v")
-    nodes = named.where("id = node").select("node", "v")
+    nodes = cut(every.groupBy("v").agg(F.min("id").alias("node")).select("node", "v"))
+    named = every.join(nodes.select("node", F.col("v").alias("same")), F.col("v") == F.col("same")).select("id", "node")
     shards = max(1, -(-every.count() * tables // _ROWS))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +94,8 @@ def copies(df: DataFrame, cosine: float = COSINE, tables: int = TABLES, projecti
     root = components(edges)
     of = named.select("id", "node").join(root.select(F.col("id").alias("r"), "root"), F.col("node") == F.col("r"), "left")
     of = of.select(F.col("id").alias("vec_id"), F.coalesce("root", "node").alias("group_id"))
-    return of.withColumn("n_vectors", F.count("*").over(W.partitionBy("group_id"))).where("n_vectors > 1")
+    size = of.groupBy(F.col("group_id").alias("g")).agg(F.count("*").alias("n_vectors"))
+    return of.join(size, F.col("group_id") == F.col("g")).drop("g")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,5 +106,6 @@ ORACLE = f"""
 WITH RECURSIVE edges AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y
     ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= {COSINE}),
 reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
-SELECT a AS vec_id, least(a, min(b)) AS group_id, count(DISTINCT b) AS n_vectors FROM reach GROUP BY a
+SELECT vec_id, least(vec_id, coalesce(min(b), vec_id)) AS group_id, greatest(1, count(DISTINCT b)) AS n_vectors
+FROM embeddings LEFT JOIN reach ON a = vec_id WHERE embedding IS NOT NULL GROUP BY vec_id
 """
