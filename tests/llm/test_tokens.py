@@ -133,3 +133,19 @@ def test_packing_groups_and_empty(spark, mini):
     got = packing.pack(mini.df(spark), group_size=20).collect()
     assert len({r.sequence >> 32 for r in got}) > 3
     assert packing.pack(mini.df(spark).where("false")).count() == 0
+
+
+def test_repeated_rows_and_null_ids_are_spread(spark):
+    rows = [(None, "the same text")] * 3000 + [(7, "another text")] * 2000 + [(i, f"text {i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = packing.pack(df, capacity=64, group_size=500).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.sequence >> 32] = sizes.get(r.sequence >> 32, 0) + 1
+    assert len(got) == 6000 and len(sizes) == 12 and max(sizes.values()) < 650
+    room = {}
+    for r in got:
+        room[r.sequence] = room.get(r.sequence, 0) + r.n_tokens
+    assert max(room.values()) <= 64
+    again = packing.pack(df.repartition(2), capacity=64, group_size=500).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))

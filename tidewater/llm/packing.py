@@ -11,10 +11,12 @@ Documents of more tokens than a sequence holds are cut into segments of
 have no segment.  Equal lengths are taken by doc_id, then by segment; null ids
 come first.  Repeated rows are packed as often as they come.
 
-The rule looks at all earlier placements, so it is applied within groups of
-about ``group_size`` segments, which a hash of doc_id draws at random.  The
-number of groups follows the number of documents; only (doc_id, segment, length)
-is shuffled, never text.
+The rule looks at all earlier placements, one after the other, so it is applied
+within groups of about ``group_size`` segments, at every size of the table: a hash
+of (doc_id, segment, length) and the number of the copy draws a segment's group, so
+that repeated rows and null ids spread as well.  Copies are counted before they are
+shuffled; only (doc_id, segment, length) is, never text.  An empty table has no
+sequences, and texts of any length are packed whole.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import id_and_text, prepare, raw_texts, runs, table
+from .base import cut, id_and_text, prepare, raw_texts, runs, table
 from .pieces import MODEL, encoder, read_model
 
 CAPACITY = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-GROUP_SIZE = 16_384
+GROUP_SIZE = 262_144
 
 
 def cost(n, linear: float = LINEAR, quadratic: float = QUADRATIC):
@@ -96,7 +98,8 @@ def pack(docs: DataFrame, model_path: str = MODEL, capacity: int = CAPACITY, lin
 
     ``sequence`` is ``group << 32 | number``; ``slot`` is the segment's place in it.
     """
-    groups = max(1, -(-docs.count() // group_size))
+    found = cut(segments(docs, model_path, capacity))
+    groups = max(1, -(-found.count() // group_size))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(list(batches))
@@ -125,7 +128,9 @@ def pack(docs: DataFrame, model_path: str = MODEL, capacity: int = CAPACITY, lin
         )
 
     schema = "sequence long, slot int, doc_id long, segment int, start long, n_tokens int, cost double"
-    grouped = segments(docs, model_path, capacity).withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    alike = found.groupBy("doc_id", "segment", "start", "n_tokens").agg(F.count("*").alias("copies"))
+    each = alike.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    grouped = each.select(F.pmod(F.xxhash64("doc_id", "segment", "n_tokens", "copy"), F.lit(groups)).cast("int").alias("group"), "doc_id", "segment", "start", "n_tokens")
     return grouped.groupBy("group").applyInArrow(place, schema)
 
 
