@@ -78,6 +78,26 @@ def test_close_edges_against_all_pairs(spark):
     assert got == union_find(edges)
 
 
+def test_comparisons_do_not_grow_with_the_bucket():
+    """Fingerprints of one bucket: random ones, with close pairs and a dense group among them."""
+    rng = np.random.default_rng(12)
+    each = []
+    for n in (2000, 10_000):
+        fp = rng.integers(0, 2**64, (n, 4), dtype=np.uint64)
+        fp[: n // 50] = fp[n // 2 : n // 2 + n // 50] ^ (np.uint64(1) << rng.integers(0, 64, (n // 50, 4), dtype=np.uint64))
+        fp[n // 4 : n // 4 + 150] = fp[0] ^ (np.uint64(1) << rng.integers(0, 64, (150, 4), dtype=np.uint64))
+        i, j, compared = simhash.close(fp, np.zeros(n, dtype=np.uint64), simhash.NEAR, simhash.NEAR_ALL)
+        a, b = [], []
+        for s in range(n):
+            near = np.flatnonzero((np.bitwise_count(fp[s] ^ fp[s + 1 :])[:, 0] <= simhash.NEAR) & (np.bitwise_count(fp[s] ^ fp[s + 1 :]).sum(axis=1, dtype=np.int64) <= simhash.NEAR_ALL))
+            a += [s] * len(near)
+            b += (near + s + 1).tolist()
+        assert len(a) > n // 50
+        assert union_find(zip(i.tolist(), j.tolist())) == union_find(zip(a, b))
+        each.append(compared / n)
+    assert each[1] < 1.5 * each[0] + 200
+
+
 def test_groups_of_copies(spark):
     rng = random.Random(1)
     base = [prose(rng, 300) for _ in range(12)]
@@ -174,6 +194,10 @@ def test_cut_spans(spark, passages):
     assert all(r.n_chars == len(r.text) for r in rows if r.text is not None)
     plain = got.drop("n_chars").columns
     assert repeats.cut_spans(df.drop("n_chars")).columns == plain
+    clash = [f"{c} as {c}" for c in ("doc_id", "text")] + ["node as __span_id", "node as id", "node as starts", "keep as ends"]
+    other = repeats.cut_spans(df.selectExpr(*clash))
+    assert other.columns == ["doc_id", "text", "__span_id", "id", "starts", "ends"]
+    assert sorted((r.node, r.text or "") for r in rows) == sorted((r.__getitem__("__span_id"), r.text or "") for r in other.collect())
     assert repeats.cut_spans(df.where("false")).count() == 0
 
 
@@ -212,7 +236,7 @@ def test_vector_copies(spark):
     root = union_find(edges)
     size = {r: list(root.values()).count(r) for r in root.values()}
     got = {r.vec_id: (r.group_id, r.n_vectors) for r in vector_copies.copies(df).collect()}
-    assert got == {i: (r, size[r]) for i, r in root.items()}
+    assert got == {i: (i, 1) for i in range(300)} | {i: (r, size[r]) for i, r in root.items()}
     assert vector_copies.copies(df.where("false")).count() == 0
 
 

@@ -274,9 +274,11 @@ def cut_spans(docs: DataFrame) -> DataFrame:
     ``n_chars``, where the input has it, is counted again for the texts that are
     cut.  Documents of which no word remains are dropped.
     """
-    found = spans(docs).select(F.col("doc_id").alias("__span_id"), F.col("starts").alias("__span_starts"), F.col("ends").alias("__span_ends"))
-    wide = docs.join(found, docs["doc_id"].cast("long") == found["__span_id"], "left").drop("__span_id")
     names = docs.columns
+    # the input's columns under names of their own, whatever they are called
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    found = spans(docs).select(F.col("doc_id").alias("id"), "starts", "ends")
+    wide = plain.join(found, plain[f"c{names.index('doc_id')}"].cast("long") == found["id"], "left").drop("id")
     text_at, size_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
