@@ -27,11 +27,6 @@ def test_query(spark, name):
     compare(spark, queries.QUERIES[name], queries.ORACLES[name])
 
 
-def test_explain(spark):
-    text = "\n".join(r.text for r in queries.QUERIES["explain_join"](spark, DATA).orderBy("line").collect())
-    assert "primary key 'o_orderkey'" in text and "join:" in text
-
-
 def test_entry(spark):
     import __spark_entry__ as e
 

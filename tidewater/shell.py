@@ -52,8 +52,8 @@ class Shell:
     def statement(self, text: str) -> None:
         try:
             self.write(result_text(self.session.execute(text)))
-        except EngineError as error:
-            self.write(f"error: {error}")
+        except Exception as error:  # whatever goes wrong in a statement, the shell goes on
+            self.write(f"error: {error}" if isinstance(error, EngineError) else f"error: {type(error).__name__}: {str(error).partition(chr(10))[0]}")
 
     def feed(self, line: str) -> bool:
         """One line of input; False ends the shell."""
