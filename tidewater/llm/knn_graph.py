@@ -51,7 +51,7 @@ LEAST = 0.01
 EVERY, HELD, RECALL = 50, 400, 0.92
 ENTRIES = 256
 _MEDIANS = 4096
-_NODES = 2000  # of a shard, on average
+_NODES = 500  # of a shard, on average
 
 
 def _shard(column: str, n: int):
@@ -130,12 +130,12 @@ def _start(half: DataFrame, n: int, degree: int, trees: int, cell: int) -> DataF
         for a, b in zip(start.tolist(), np.append(start[1:], len(leaf)).tolist()):
             ids, x = all_ids[a:b], matrix(v.slice(a, b - a), np.float16).astype(np.float32)
             k = min(degree, len(ids) - 1)
-            for s in range(0, len(ids) if k > 0 else 0, 1024):
-                c = x[s : s + 1024] @ x.T
+            for s in range(0, len(ids) if k > 0 else 0, 256):
+                c = x[s : s + 256] @ x.T
                 c[np.arange(len(c)), s + np.arange(len(c))] = -2
                 best = np.argpartition(-c, k - 1, axis=1)[:, :k]
                 fresh = np.ones(len(c) * k, dtype=bool)
-                yield _edges(np.repeat(ids[s : s + 1024], k), ids[best].ravel(), np.take_along_axis(c, best, 1).ravel(), fresh, fresh)
+                yield _edges(np.repeat(ids[s : s + 256], k), ids[best].ravel(), np.take_along_axis(c, best, 1).ravel(), fresh, fresh)
 
     cells = half.mapInArrow(place, "leaf long, id long, v binary")
     return _merge(cells.groupBy(_shard("leaf", n * trees)).applyInArrow(compare, _FRESH), degree, n)
@@ -174,7 +174,7 @@ def build(vectors: DataFrame, degree: int = DEGREE, trees: int = TREES, cell: in
                 a, b = own[new][i], own[j]
                 out.append((b, a, c[i, j]) if turned else (a, b, c[i, j]))
                 size += len(i)
-            if size > 500_000:
+            if size > 200_000:
                 yield _new(out)
                 out, size = [], 0
         if out:
