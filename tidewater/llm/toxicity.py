@@ -175,14 +175,20 @@ class Index:
         def add(flag: np.ndarray) -> None:
             """The postings of the flagged pairs of text and block."""
             use = np.flatnonzero(flag.ravel()[pair])
-            size = self.range_from[ranges[use] + 1] - self.range_from[ranges[use]]
-            edge = np.searchsorted(np.cumsum(size), np.arange(_POSTINGS, int(size.sum()) + _POSTINGS, _POSTINGS), side="right")
+            begin = self.range_from[ranges[use]]
+            size = self.range_from[ranges[use] + 1] - begin
+            ends = np.cumsum(size)
+            line, factor = pair[use] // blocks * cosine.shape[1], weight[use]
+            edge = np.searchsorted(ends, np.arange(_POSTINGS, int(size.sum()) + _POSTINGS, _POSTINGS), side="right")
             for s, e in zip(np.append(0, edge), edge):
-                i, j = spread(size[s:e])
-                r = use[s:e][i]
-                p = self.range_from[ranges[r]] + j
-                at = pair[r] // blocks * cosine.shape[1] + self.example[p]
-                cosine.ravel()[:] += np.bincount(at, weights=weight[r] * self.value[p], minlength=cosine.size)
+                if s == e:
+                    continue
+                n, before = size[s:e], ends[s] - size[s]
+                p = np.repeat(begin[s:e] - (ends[s:e] - n - before), n)
+                p += np.arange(len(p))
+                at = np.repeat(line[s:e], n)
+                at += self.example[p]
+                cosine.ravel()[:] += np.bincount(at, weights=np.repeat(factor[s:e], n) * self.value[p], minlength=cosine.size)
 
         lead = np.zeros((b, blocks), dtype=bool)
         first = min(LEAD, blocks)
