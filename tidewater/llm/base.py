@@ -6,6 +6,7 @@ any further column of the input, whatever its name, cannot get in their way.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -107,6 +108,15 @@ def release(spark: SparkSession) -> None:
         size = known.size()
 
 
+def give_back() -> None:
+    """Return this process's freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or in a local session without it one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import cut, id_and_text, list_array, prepare, raw_texts, runs, table
+from .base import cut, give_back, id_and_text, list_array, prepare, raw_texts, runs, table
 from .words import Words, mix, spread
 
 EXAMPLES = 4096
@@ -298,6 +298,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     row = np.repeat(np.arange(len(each)), [len(x) for x in each])
     vocabulary, term = np.unique(np.concatenate(each), return_inverse=True)
     count = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in found.column("counts").to_pylist()])
+    del each, found
+    give_back()
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     n, v = n1 + n0, len(vocabulary)
     a, b = np.bincount(term, weights=toxic[row], minlength=v), np.bincount(term, weights=~toxic[row], minlength=v)
@@ -319,8 +321,11 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     counts = id_and_text(docs).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     at, times = np.asarray(counts.column("term")), np.asarray(counts.column("n"))
     df[at[at >= 0]], total_docs = times[at >= 0], int(times[at < 0].sum())
-    words.unpersist()
+    words.destroy()
+    del counts, at, times
     index = Index(doc_id, toxic, share, np.log((1 + total_docs) / (1 + df)) * np.maximum(1, np.abs(z)), row, term, count)
+    del row, term, count
+    give_back()
     bare = Model(vocabulary, index, np.zeros(1), np.zeros(1), rate)
     shared = spark.sparkContext.broadcast(bare)
 
@@ -335,7 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     # the checkpoint may have few partitions
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own_share = {r[0]: r[1] for r in chosen.repartition(parts, "doc_id").mapInArrow(left_out, "doc_id long, share double").collect()}
-    shared.unpersist()
+    shared.destroy()
     x = np.array([own_share[i] for i in doc_id.tolist()])
     seen = ~np.isnan(x)
     none = float(((share * toxic)[~seen].sum() + rate) / (share[~seen].sum() + 1))
