@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidewater.llm import components, knn_graph, repeats, simhash, vector_copies
+from tidewater.llm import cells, components, knn_graph, repeats, simhash, vector_copies
 from tidewater.llm.vectors import normalised
 from tidewater.llm.words import Words
 
@@ -272,6 +272,49 @@ def test_nearest_query(spark, tmp_path):
         assert [r.neighbour for r in sorted(rows, key=lambda r: r.rank) if r.query == q] == [i for i in copies if i != q][:10]
 
 
+def test_nearest_query_takes_few_jobs(spark):
+    """A graph of all rows, made and searched in rounds, took hundreds."""
+    df = vectors(spark, np.random.default_rng(14).standard_normal((2500, 16)))
+    spark.sparkContext.setJobGroup("nearest", "few jobs")
+    try:
+        assert knn_graph.nearest(df).count() == 500
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("nearest")) <= 40
+
+
+def test_nearest_by_cells_misses_nothing_of_the_cells_it_meets(spark):
+    """All rows are measured and none may be missed: the exact answer, with a cell over several shards, copies and two sizes."""
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((1300, 12)).astype(np.float32)
+    x[700:1100] = x[5] + rng.standard_normal((400, 12)) * 1e-3
+    x[1100:1200] = x[6]
+    y = rng.standard_normal((90, 7)).astype(np.float32)
+    rows = [(i, [float(e) for e in v], 0, 0.5) for i, v in enumerate([*x, *y])]
+    df = spark.createDataFrame([*rows, (5000, [1.0], 0, 0.5), *((7000 + i, *r[1:]) for i, r in enumerate(ODD[:4]))], "vec_id long, embedding array<float>, label int, cosine double")
+    got = {}
+    for r in cells.nearest(df, every=1, k=10, held=1390, target=1.0, shard=8000).collect():
+        got.setdefault(r.query, {})[r.rank] = (r.neighbour, r.cosine)
+    assert sorted(got) == list(range(1390))
+    for first, part in ((0, x), (1300, y)):
+        u = (part.astype(float) / np.linalg.norm(part.astype(float), axis=1, keepdims=True)).astype(np.float32).astype(float)
+        for i in range(len(u)):
+            c = np.clip(u @ u[i], -1, 1)
+            c[i] = -2
+            want = -np.sort(-c)[:10]
+            assert sorted(got[first + i]) == list(range(1, 11))
+            found = [got[first + i][k] for k in range(1, 11)]
+            assert [f[1] for f in found] == pytest.approx(want, abs=1e-7)
+            assert [c[f[0] - first] for f in found] == pytest.approx(want, abs=1e-7)
+            assert len({f[0] for f in found}) == 10
+    assert [got[1150][k][0] for k in range(1, 11)] == [6, *range(1100, 1109)]
+
+
+def test_cells_are_packed_whole_or_split(spark):
+    places, shards = cells._shards([(0, 64, 10), (1, 64, 2), (2, 64, 100), (3, 64, 1), (-5, 20, 3)], 1000)
+    assert (places, shards) == ([(0, 0, 1), (1, 0, 1), (2, 1, 8), (3, 9, 1), (-5, 10, 1)], 11)
+
+
 def test_nearest_start_is_small_and_the_descent_does_the_work(spark):
     x = np.random.default_rng(3).standard_normal((4000, 32))
     own = normalised(vectors(spark, x))

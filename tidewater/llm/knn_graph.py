@@ -1,6 +1,6 @@
 """Approximate nearest neighbours: a graph by NN-descent, queries by greedy search on it.
 
-Vectors that are equal are one node; ``op8`` gives the copies back.
+Vectors are to differ from each other, as equal ones take each other's edges.
 
 Start: in each of ``TREES`` random-projection partitions, the vectors of a cell of
 about ``CELL`` are compared with each other, whatever the table's size.  NN-descent:
@@ -19,11 +19,14 @@ are vectors fetched and compared, until a beam of ``beam`` has none left to expa
 Cosines are computed in half precision on the way, and those that are returned
 once more exactly.
 
-``op8`` takes as queries the rows whose vec_id is divisible by ``EVERY``, against all
-rows, and measures recall: ``HELD`` vectors are searched and compared with all
+``tuned`` measures recall: ``HELD`` vectors are searched and compared with all
 others.  Until it is at least ``RECALL``, first the beam and then the degree are
 doubled, at last up to the number of vectors.
 
+``op8`` takes as queries the rows whose vec_id is divisible by ``EVERY``, against all
+rows.  For so few queries a graph of all vectors costs many times what it saves, so
+they are answered from ``cells``; the graph is for neighbours of all vectors.
+
 All tables travel by joins and shuffles; only the partitions' directions and the
 entry sample, both of fixed size, are sent to every executor.  Vectors of
 different sizes are never neighbours.  For rows that are passed over see
@@ -42,8 +45,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import cells
 from .base import cut, table
-from .vectors import matrix, normalised
+from .vectors import matrix, ranked
 
 NEIGHBOURS, DEGREE, BEAM = 10, 32, 160
 TREES, CELL, SAMPLE = 8, 64, 16
@@ -59,18 +63,6 @@ def _shard(column: str, n: int):
     return F.pmod(F.xxhash64(column), F.lit(max(1, -(-n // _NODES)))).alias("shard")
 
 
-def _ranked(row: np.ndarray, other: np.ndarray, cosine: np.ndarray, k: int) -> np.ndarray:
-    """Places of each row's k best others, sorted by row and rank; of repeated pairs the first counts."""
-    order = np.lexsort((other, row))
-    r, o = row[order], other[order]
-    order = order[np.concatenate(([True], (r[1:] != r[:-1]) | (o[1:] != o[:-1])))[: len(order)]]
-    order = order[np.lexsort((other[order], -cosine[order], row[order]))]
-    r = row[order]
-    start = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))[: len(r)]
-    rank = np.arange(len(r)) - np.repeat(start, np.diff(np.append(start, len(r))))
-    return order[rank < k]
-
-
 _EDGE = "id long, other long, cosine float"
 _FRESH = f"{_EDGE}, out boolean, into boolean"
 _NAMES = ["id", "other", "cosine", "out", "into"]
@@ -91,7 +83,7 @@ def _merge(rows: DataFrame, k: int, n: int) -> DataFrame:
         start = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(other) != 0))))[: len(row)]
         row, other, cosine = row[start], other[start], cosine[start]
         fresh = [np.logical_and.reduceat(x[order], start) for x in fresh]
-        keep = _ranked(row, other, cosine, k)
+        keep = ranked(row, other, cosine, k)
         yield _edges(*(x[keep] for x in (row, other, cosine, *fresh)))
 
     return rows.groupBy(_shard("id", n)).applyInArrow(run, _FRESH)
@@ -182,7 +174,7 @@ def build(vectors: DataFrame, degree: int = DEGREE, trees: int = TREES, cell: in
 
     def _new(out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         a, b, c = (np.concatenate(x) for x in zip(*out))
-        keep = _ranked(a, b, c, degree)
+        keep = ranked(a, b, c, degree)
         fresh = np.ones(len(keep), dtype=bool)
         return _edges(a[keep], b[keep], c[keep], fresh, fresh)
 
@@ -336,22 +328,7 @@ def tuned(vectors: DataFrame, k: int = NEIGHBOURS, degree: int = DEGREE, beam: i
 
 def nearest(df: DataFrame, every: int = EVERY, k: int = NEIGHBOURS) -> DataFrame:
     """(query, rank, neighbour, cosine): the k nearest of all rows for each id that is divisible by ``every``."""
-    rows = cut(normalised(df))
-    nodes = cut(rows.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
-    graph, beam = tuned(nodes, k)
-    asked = rows.where(F.col("id") % every == 0)
-    queries = nodes.join(asked.select(F.col("v").alias("a")).distinct(), F.col("v") == F.col("a"), "left_semi")
-    near = search(queries, nodes, graph, k, beam, own=True)
-    # a node's k + 1 smallest ids are as many as any query can take of it
-    node = nodes.select(F.col("id").alias("node"), F.col("v").alias("node_v"))
-    member = rows.join(node, F.col("v") == F.col("node_v")).select("node", F.col("id").alias("member"))
-    few = member.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("member"))).where(F.col("r") <= k + 1).drop("r")
-    ask = member.where(F.col("member") % every == 0).select(F.col("member").alias("query"), F.col("node").alias("q_node"))
-    pairs = near.select(F.col("query").alias("from"), F.col("neighbour").alias("to"), "cosine").union(queries.select("id", "id", F.lit(1.0)))
-    pairs = pairs.join(few, F.col("to") == F.col("node")).select("from", "member", "cosine")
-    pairs = ask.join(pairs, F.col("q_node") == F.col("from")).where("query <> member")
-    order = W.partitionBy("query").orderBy(F.col("cosine").desc(), "member")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", F.col("member").alias("neighbour"), "cosine")
+    return cells.nearest(df, every, k)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

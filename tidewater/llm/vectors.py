@@ -45,3 +45,15 @@ def matrix(column: pa.Array | pa.ChunkedArray, dtype=np.float32) -> np.ndarray:
         return np.concatenate(parts) if parts else np.zeros((0, 0), dtype=dtype)
     ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
     return np.frombuffer(column.buffers()[2], dtype=dtype, offset=int(ends[0]), count=int(ends[-1] - ends[0]) // np.dtype(dtype).itemsize).reshape(len(column), -1)
+
+
+def ranked(row: np.ndarray, other: np.ndarray, cosine: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k best others, sorted by row and rank; of repeated pairs the first counts."""
+    order = np.lexsort((other, row))
+    r, o = row[order], other[order]
+    order = order[np.concatenate(([True], (r[1:] != r[:-1]) | (o[1:] != o[:-1])))[: len(order)]]
+    order = order[np.lexsort((other[order], -cosine[order], row[order]))]
+    r = row[order]
+    start = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))[: len(r)]
+    rank = np.arange(len(r)) - np.repeat(start, np.diff(np.append(start, len(r))))
+    return order[rank < k]
