@@ -13,10 +13,12 @@ for the recall ``RECALL``: at most all, which is exact.  Equal vectors count onc
 Search: cells travel to shards of at most ``SHARD`` bytes, a larger cell to several by
 the hash of its vectors, and a query to every shard with a cell that it meets.  There a
 query's vectors are compared in single precision, and those that can be among its
-nearest once more in double precision; no cell or shard is cut.
+nearest once more in double precision; no cell or shard is cut.  What can't be among
+them is known from at most ``KNOWN_BYTES`` of a sample of about ``KNOWN`` rows: whatever is
+below k + 1 of those of them that are in the query's cells.
 
-All tables travel by joins and shuffles; only the centres and each cell's shard, both
-bounded, are sent to every executor.  Of a vector that many rows have in common the
+All tables travel by joins and shuffles; only the centres, each cell's shard and that
+sample, all bounded, are sent to every executor.  Of a vector that many rows have in common the
 k + 1 smallest ids are kept, as no query can take more; equal queries are asked once.
 Vectors of different sizes are never neighbours.  For rows that are passed over see
 ``vectors.normalised``.  Equal cosines go by id.  A vector alone in its table, and an
@@ -39,12 +41,13 @@ from .vectors import matrix, normalised, ranked
 CELLS, MOST_CELLS, LEAST_ROWS = 4, 8192, 16
 SAMPLE, SAMPLE_BYTES = 131_072, 64_000_000
 SHARD = 96_000_000
-HELD, RECALL = 400, 0.96
+KNOWN, KNOWN_BYTES = 32_768, 8_388_608
+HELD, RECALL = 400, 0.94
 _ROUNDS = 8  # of k-means
 _BLOCK = 1 << 22  # cosines at once
 _CACHED = 1 << 19  # cosines that stay in the cache
 _NEAR = 2e-6  # more than single precision errs by
-_SEND = "shard int, kind int, cell int, id long, v binary, least float"
+_SEND = "shard int, kind int, cell int, id long, v binary, least float, worst float"
 
 #: By the bytes of a vector: the number of its first cell, and its cells' centres.
 Centres = dict[int, tuple[int, np.ndarray]]
@@ -201,8 +204,27 @@ def _shards(cells: list[tuple[int, int, int]], most: int) -> tuple[list[tuple[in
     return out, shards
 
 
-def _sent(queries: DataFrame, centres: Centres, places: list[tuple[int, int, int]], met: int) -> DataFrame:
-    """The queries (id, v) for every shard with a cell that they meet; ``least``: their centres' least cosine."""
+def _known(placed: DataFrame, centres: Centres, n: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each size of vectors, different ones of a sample and their cells, counted from the size's first."""
+    most = max(1, min(KNOWN, KNOWN_BYTES // max(centres, default=1)))
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in placed.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // most))) == 0).select("cell", "v").toArrow().combine_chunks().to_batches():
+        for w, part in _by_size(batch):
+            if w in centres:
+                x, cell = matrix(part.column("v")), np.asarray(part.column("cell")) - centres[w][0]
+                out[w] = (np.concatenate([out[w][0], x]), np.concatenate([out[w][1], cell])) if w in out else (x, cell)
+    for w, (x, cell) in out.items():
+        first = np.unique(_hash(x), return_index=True)[1]
+        out[w] = (x[first], cell[first])
+    return out
+
+
+def _sent(queries: DataFrame, centres: Centres, known: dict[int, tuple[np.ndarray, np.ndarray]], places: list[tuple[int, int, int]], met: int, most: int) -> DataFrame:
+    """The queries (id, v) for every shard with a cell that they meet.
+
+    ``least`` is the cosine of the last centre that they meet, ``worst`` one that
+    ``most`` of the vectors in these cells reach.
+    """
     at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for w, (first, centre) in centres.items():
         pairs = sorted((s, cell - first) for cell, begin, n in places if first <= cell < first + len(centre) for s in range(begin, begin + n))
@@ -213,7 +235,8 @@ def _sent(queries: DataFrame, centres: Centres, places: list[tuple[int, int, int
         for batch in batches:
             for w, part in _by_size(batch):
                 x = matrix(part.column("v"))
-                step = max(1, _BLOCK // len(centres[w][1])) if w in centres else len(x)
+                worst = np.full(len(x), -2, dtype=np.float32)
+                step = max(1, _BLOCK // max(len(centres[w][1]), len(known[w][0]) if w in known else 1)) if w in centres else len(x)
                 for s in range(0, len(x), step):
                     own = x[s : s + step]
                     if w in centres:
@@ -222,8 +245,17 @@ def _sent(queries: DataFrame, centres: Centres, places: list[tuple[int, int, int
                         least = np.partition(score, score.shape[1] - p, axis=1)[:, score.shape[1] - p] - np.float32(_NEAR)
                         shard, cell = at[w]
                         start = np.flatnonzero(np.diff(shard, prepend=-1))
-                        row, to = np.nonzero(np.logical_or.reduceat(score[:, cell] >= least[:, None], start, axis=1))
+                        meets = score >= least[:, None]
+                        row, to = np.nonzero(np.logical_or.reduceat(meets[:, cell], start, axis=1))
                         to = shard[start][to]
+                        if w in known and len(known[w][0]) >= most:
+                            c = own @ known[w][0].T
+                            c += np.where(meets, np.float32(0), np.float32(-4)).take(known[w][1], axis=1)
+                            # the best of each of many parts: as many different vectors reach the last of ``most`` of them
+                            wide = max(most, min(c.shape[1], 512))
+                            best = c[:, : c.shape[1] // wide * wide].reshape(len(c), -1, wide).max(axis=1)
+                            c = np.partition(best, wide - most, axis=1)[:, wide - most]
+                            worst[s : s + step] = np.where(c > -1.5, c - np.float32(_NEAR), -2)
                     else:
                         least, to = np.full(len(own), -2, dtype=np.float32), rest.get(w, np.zeros(0, dtype=np.int64))
                         row, to = np.repeat(np.arange(len(own)), len(to)), np.tile(to, len(own))
@@ -231,7 +263,7 @@ def _sent(queries: DataFrame, centres: Centres, places: list[tuple[int, int, int
                         r, t = row[b : b + 32_768], to[b : b + 32_768]
                         piece = part.take(pa.array(s + r))
                         one = np.ones(len(r), dtype=np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(one), pa.array(0 * one), piece.column("id"), piece.column("v"), pa.array(least[r])], names=["shard", "kind", "cell", "id", "v", "least"])
+                        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(one), pa.array(0 * one), piece.column("id"), piece.column("v"), pa.array(least[r]), pa.array(worst[s + r])], names=["shard", "kind", "cell", "id", "v", "least", "worst"])
 
     return queries.select("id", "v").mapInArrow(run, _SEND)
 
@@ -258,7 +290,7 @@ class _Shard:
         """(query, neighbour, cosine): the ``most`` nearest rows of the shard's cells that each query meets."""
         q, most = matrix(batch.column("v")), self.most
         meets = np.ones((len(q), len(self.cells)), dtype=bool) if self.centre is None else q @ self.centre.T >= np.asarray(batch.column("least"))[:, None]
-        worst = np.full(len(q), -2, dtype=np.float32)
+        worst = np.array(batch.column("worst"))
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size, full = 0, max(200_000, 4 * most * len(q))
         for n, (a, b) in enumerate(self.ranges):
@@ -343,8 +375,8 @@ def nearest(df: DataFrame, every: int, k: int, held: int | None = None, target:
 
     where = spark.createDataFrame(places, "at int, begin int, parts int")
     vectors = placed.join(F.broadcast(where), F.col("cell") == F.col("at"))
-    vectors = vectors.select((F.col("begin") + F.pmod(F.xxhash64("v"), F.col("parts"))).cast("int").alias("shard"), F.lit(0).alias("kind"), "cell", "id", "v", F.lit(0).cast("float").alias("least"))
-    mixed = vectors.union(_sent(same, centres, places, met)).repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("kind")
+    vectors = vectors.select((F.col("begin") + F.pmod(F.xxhash64("v"), F.col("parts"))).cast("int").alias("shard"), F.lit(0).alias("kind"), "cell", "id", "v", F.lit(0).cast("float").alias("least"), F.lit(0).cast("float").alias("worst"))
+    mixed = vectors.union(_sent(same, centres, _known(placed, centres, sum(n for *_, n in counts)), places, met, most)).repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("kind")
     found = mixed.mapInArrow(answer, "query long, neighbour long, cosine double")
     order = F.col("cosine").desc(), "neighbour"
     found = found.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(*order))).where(F.col("r") <= most).drop("r")
