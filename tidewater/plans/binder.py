@@ -1,11 +1,12 @@
 """Syntax trees to DataFrames.
 
-Nothing here chooses a physical plan: filters, pruning, join strategy and build
-side are Catalyst's.
+Filters, pruning, join strategy and build side are Catalyst's; only the rows of
+keys that give very many rows are laid out here (``spread``).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..errors import BindError
 from ..functions.predicates import compare, keys_equal
+from . import spread
 from .parser import Predicate, Select
 
 
@@ -83,21 +85,46 @@ def join_keys(left: Side, right: Side, a: str, b: str) -> tuple[str, str]:
     raise BindError(f"join columns not found: {a}, {b}")
 
 
-def bind(select: Select, scan: Callable[[str], DataFrame]) -> DataFrame:
-    """The query's DataFrame; ``scan`` gives a table's."""
+def bind(select: Select, scan: Callable[[str], DataFrame], addressed: Callable[[str, str], DataFrame], folder: str) -> DataFrame:
+    """The query's DataFrame.
+
+    ``scan`` gives a table's; ``addressed`` one with a further column, named by
+    the second argument, that has a hash of each row's address; ``folder`` is
+    where a join's counts of keys are written.
+    """
     names = [select.table] + ([select.join.table] if select.join else [])
     frames = [scan(n) for n in names]
     sides = [Side(n, f"_{i}", f.schema) for i, (n, f) in enumerate(zip(names, frames))]
     scope = Scope(sides)
-    df = frames[0].alias("_0")
     if select.join:
         a, b = join_keys(*sides, select.join.left, select.join.right)
-        on = keys_equal(sides[0].column(a), sides[0].kind(a), sides[1].column(b), sides[1].kind(b))
-        df = df.join(frames[1].alias("_1"), on, "inner")
+        keys = [sides[0].column(a), sides[1].column(b)]
+        kinds = sides[0].kind(a), sides[1].kind(b)
+        on = keys_equal(keys[0], kinds[0], keys[1], kinds[1])
     where = scope.where(select.where)
-    if where is not None:
-        df = df.where(where)
     if select.columns is None:
-        return df.select(*(s.column(c).alias(c) for s in sides for c in s.schema.names))
-    found = [scope.find(c) for c in select.columns]
-    return df.select(*(side.column(name).alias(name) for side, name in found))
+        columns = [s.column(c).alias(c) for s in sides for c in s.schema.names]
+    else:
+        columns = [side.column(name).alias(name) for side, name in map(scope.find, select.columns)]
+
+    def rows(df: DataFrame) -> DataFrame:
+        return (df if where is None else df.where(where)).select(*columns)
+
+    if not select.join:
+        return rows(frames[0].alias("_0"))
+    joined = lambda l, r: l.join(r, on, "inner")
+
+    def own(df: DataFrame, side: Side) -> DataFrame:
+        """The side's rows after the predicates on its columns."""
+        mine = scope.where(tuple(p for p in select.where if scope.find(p.column)[0] is side))
+        df = df.alias(side.alias)
+        return df if mine is None else df.where(mine)
+
+    values = spread.common(keys[0], kinds[0], keys[1], kinds[1])
+    found = values and spread.crowded(*(own(f, s).select(v.alias("k")) for f, s, v in zip(frames, sides, values)), folder)
+    if not found:
+        return rows(joined(frames[0].alias("_0"), frames[1].alias("_1")))
+    at = f"at_{uuid.uuid4().hex}"
+    few = [spread.others(own(f, s), v, found).alias(s.alias) for f, s, v in zip(frames, sides, values)]
+    many = [own(addressed(n, at), s) for n, s in zip(names, sides)]
+    return rows(joined(*few)).unionAll(rows(spread.cells(many[0], values[0], many[1], values[1], found, at)))
